@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import p4_split
+from skein.llm import p1_pieces, p4_split, p9_leaks
 
-MODULES = [p4_split]
+MODULES = [p1_pieces, p4_split, p9_leaks]
 
 
 def queries() -> dict:
