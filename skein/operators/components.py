@@ -54,10 +54,10 @@ def ranked_within(df: DataFrame, key: str, by: str, name: str = "rank_no", bucke
     A key of a third of all rows is no single task's work: rows are numbered inside hash buckets, and the sizes of
     the buckets before (at most `buckets` rows a key) are added.
     """
-    df = materialize(df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")), "ranks")
-    sizes = df.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_before", before).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(F.xxhash64(by), by)) - 1
-    joined = df.withColumn("_in", inside).join(starts.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (df["_bucket"] == starts["_bucket"])).drop(starts["_bucket"])
-    return joined.withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_key", "_before", "_in", "_bucket")
+    df = materialize(df.withColumn("_rank_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")), "ranks")
+    sizes = df.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_bucket").alias("_rank_at")).agg(F.count(F.lit(1)).alias("_rank_n"))
+    earlier = Window.partitionBy("_rank_key").orderBy("_rank_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(earlier), F.lit(0))).drop("_rank_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_rank_bucket").orderBy(F.xxhash64(by), by)) - 1
+    joined = df.withColumn("_rank_in", inside).join(starts, F.col(key).eqNullSafe(F.col("_rank_key")) & (F.col("_rank_bucket") == F.col("_rank_at")))
+    return joined.withColumn(name, (F.col("_rank_before") + F.col("_rank_in")).cast("bigint")).drop("_rank_key", "_rank_before", "_rank_in", "_rank_bucket", "_rank_at")
