@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import p10_levels, p1_pieces, p4_split, p8_sequences, p9_leaks
+from skein.llm import p10_levels, p1_pieces, p4_split, p5_conversations, p8_sequences, p9_leaks
 
-MODULES = [p1_pieces, p4_split, p8_sequences, p9_leaks, p10_levels]
+MODULES = [p1_pieces, p4_split, p5_conversations, p8_sequences, p9_leaks, p10_levels]
 
 
 def queries() -> dict:
