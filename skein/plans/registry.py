@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import p2_hierarchy, p3_nested, p6_drift, p7_stamps
+from skein.plans import p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval
 
-MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps]
+MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval]
 
 
 def queries() -> dict:
