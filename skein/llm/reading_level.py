@@ -138,7 +138,7 @@ class Prose:
         new[1:] = sentence[1:] != sentence[:-1]
         self.n_sentences = np.bincount(doc[new], minlength=n)
         self.n_long = np.bincount(doc[width > 6], minlength=n)
-        low = _Tables.lower[np.minimum(points, _LAST_LETTER - 1)] if len(points) else points
+        low = _Tables.lower[points if points.dtype == np.uint8 else np.minimum(points, _LAST_LETTER - 1)]
         self.language = self._tell(low, starts, width, doc, n)
         syllables = self._syllables(low, letter, starts, ends, width, doc)
         self.n_syllables = _sum(syllables, doc, n)
