@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval
+from skein.plans import ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval
 
-MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval]
+MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger]
 
 
 def queries() -> dict:
