@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval
+from skein.plans import ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, records, retrieval
 
-MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger]
+MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger, records]
 
 
 def queries() -> dict:
