@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, records, retrieval
+from skein.plans import ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, records, retrieval, streams
 
-MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger, records]
+MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger, records, streams]
 
 
 def queries() -> dict:
