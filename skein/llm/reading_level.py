@@ -199,6 +199,7 @@ class Prose:
                 past = (tail == 100) & (before == 101) & (w > 3) & ~vowel[third] & (third != 116) & (third != 100)
                 plural = (tail == 115) & (before == 101) & (w > 3) & ~vowel[third] & ~np.isin(third, [ord(x) for x in "szxchgj"])
                 count -= silent | past | plural
+                count += (tail == 97) & (before == 101) & (count > 1)  # idea, area, but not tea
             elif name == "fr":
                 silent = (tail == 101) & (w > 2) & ~vowel[before]
                 plural = (tail == 115) & (before == 101) & (w > 3) & ~vowel[third]
