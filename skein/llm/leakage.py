@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 WORDS, EDITS, Q = 12, 2, 12
 #: Bytes of item text indexed at a time; more items are searched in blocks of this size, each in a pass of its own.
 BLOCK_BYTES = 32 << 20
+#: Characters reduced and searched together; more make the alignments wider and take more memory (about 60 bytes each).
+SLICE = 3 << 20
 _LAST_LETTER = 0x32400
 _GAP, _DROP, _MANY = 0, 255, 254
 _PENALTY = 2
@@ -217,20 +219,37 @@ class ItemIndex:
         text_at = np.repeat(at, count)
         text = np.searchsorted(starts, text_at, side="right") - 1
         item = np.searchsorted(self.starts, item_at, side="right") - 1
-        diagonal = text_at - item_at + len(self.data)
-        # Each diagonal lies in two bands of twice the width, so that no passage is cut by a border.
-        row = np.concatenate([np.arange(total)] * 2)
-        band = np.concatenate([diagonal // self.band, diagonal // self.band - 1])
+        # Each diagonal lies in two bands of twice the width, so that no passage is cut by a border. A first count by a
+        # hash of text, item and half band leaves out what can't reach the bound; equal hashes only let more through.
+        half = (text_at - item_at + len(self.data)) // self.band
+        pair = (text * len(self.starts) + item).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+        def slot(h):
+            return ((pair + h.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+        here = slot(half)
+        tally = np.bincount(here, minlength=1 << self.BITS)
+        own = tally[here]
+        kept = np.flatnonzero(own + np.maximum(tally[slot(half - 1)], tally[slot(half + 1)]) >= self.least)
+        if not len(kept):
+            return
+        text, item, text_at, half = text[kept], item[kept], text_at[kept], half[kept]
+        row = np.concatenate([np.arange(len(kept))] * 2)
+        band = np.concatenate([half, half - 1])
+        upper = np.concatenate([np.zeros(len(kept), bool), np.ones(len(kept), bool)])
         order = np.lexsort((text_at[row], band, item[row], text[row]))
-        row, band = row[order], band[order]
+        row, band, upper = row[order], band[order], upper[order]
         t, i, x = text[row], item[row], text_at[row]
         new = np.ones(len(row), bool)
         new[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (band[1:] != band[:-1]) | (x[1:] - x[:-1] > self.length)
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(row)))
-        good = size >= self.least
+        # Hits that all lie in the lower half of a band are all in the upper half of the band below, which is looked at.
+        good = (size >= self.least) & np.logical_or.reduceat(upper, head)
         head, size = head[good], size[good]
         last = head + size - 1
+        by_length = np.argsort(x[last] - x[head], kind="stable")
+        head, last = head[by_length], last[by_length]
         for k in range(0, len(head), 512):
             h, z = head[k : k + 512], last[k : k + 512]
             low, high = x[h], x[z] + self.q
@@ -307,7 +326,7 @@ def leaks(documents: DataFrame, items: DataFrame, n_words: int = WORDS, edits: i
                     at = 0
                     while at < len(group):
                         end, size = at, 0
-                        while end < len(group) and (end == at or size < 1 << 20):
+                        while end < len(group) and (end == at or size < SLICE):
                             size += len(texts[group[end]])
                             end += 1
                         part = group[at:end]
