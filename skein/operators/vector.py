@@ -76,15 +76,16 @@ def maxsim_rows(chunk_rows: DataFrame, query_rows: DataFrame) -> DataFrame:
     """The same from rows: chunk_rows(id, vector), query_rows(query_id, row, vector). The query rows are a stated set, checked to be small."""
     if query_rows.limit(100_001).count() > 100_000:
         raise ValueError("more than 100000 query rows: give the queries in blocks")
-    pairs = chunk_rows.join(F.broadcast(query_rows.withColumnRenamed("vector", "_q")), F.lit(True))
-    score = dot(unit(F.col("vector")), unit(F.col("_q")))
+    units = query_rows.select("query_id", "row", unit(F.col("vector")).alias("_q"))
+    pairs = chunk_rows.withColumn("vector", unit(F.col("vector"))).join(F.broadcast(units), F.lit(True))
+    score = dot(F.col("vector"), F.col("_q"))
     each = pairs.groupBy("query_id", "id", "row").agg(F.max(score).alias("best"))
     return each.groupBy("query_id", "id").agg(F.sum("best").alias("score"))
 
 
 def two_stage(chunks: DataFrame, proxies: DataFrame, queries: DataFrame, query_proxies: DataFrame, candidates: int, k: int) -> DataFrame:
     """The k best chunks of each query: by late interaction over the `candidates` nearest by proxy vector."""
-    near = maxsim_rows(proxies.withColumnRenamed("proxy", "vector"), query_proxies.select("query_id", F.lit(0).alias("row"), F.col("proxy").alias("vector")))
+    near = maxsim(proxies.select("id", F.array("proxy").alias("matrix")), query_proxies.select("query_id", F.array("proxy").alias("matrix")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     pool = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= candidates).select("query_id", "id")
     held = chunks.join(pool.select("id").distinct(), "id", "left_semi")

@@ -17,6 +17,10 @@ from skein.session import allow_duplicate_keys, json_kind, materialize, parse_li
 from skein.sources.transcripts import string_at
 
 
+#: Lists searched for each query; every vector lies in its two nearest lists. Recall is what ivf_recall measures.
+LISTS, PROBES = 32, 14
+
+
 def evidence_census(spark, d):
     """Turns, calls, results and other blocks of claude and codex by kind."""
     return flatten(nested_records(spark, d), "blocks").where("parent_path IS NULL").groupBy("runtime", "block_type").agg(F.count(F.lit(1)).alias("n"))
@@ -194,10 +198,11 @@ def coverage_watermark(spark, d):
 def ivf_recall(spark, d):
     """Every fiftieth vector searched in the nearest lists of a coarse index, against the exact ten: recall of each query."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    centroids = coarse_index.fit(rows, lists=8)
-    index = materialize(coarse_index.assign(rows, centroids), "lists")
-    q = coarse_index.assign(rows.where(F.col("id") % retrieval.EVERY == 0), centroids, probes=5).select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), "list_no")
-    scores = index.join(q, "list_no").select("query_id", "id", dot(unit(F.col("vector")), unit(F.col("_q"))).alias("score")).withColumn("score", F.round("score", 5))
+    centroids = coarse_index.fit(rows, lists=LISTS)
+    index = materialize(coarse_index.assign(rows, centroids, probes=2), "lists")
+    q = coarse_index.assign(rows.where(F.col("id") % retrieval.EVERY == 0), centroids, probes=PROBES).select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), "list_no")
+    units = index.select("id", "list_no", unit(F.col("vector")).alias("vector")).join(q.select("query_id", "list_no", unit(F.col("_q")).alias("_q")), "list_no")
+    scores = units.dropDuplicates(["query_id", "id"]).select("query_id", "id", F.round(dot(F.col("vector"), F.col("_q")), 5).alias("score"))
     near = lexical.top_k(scores, 10).select("query_id", "id")
     exact = retrieval.cosine_topk(spark, d).select("query_id", "id")
     hit = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")

@@ -146,11 +146,7 @@ def cdc_receiver_apply(spark, d):
 
 
 def _run(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    from skein.operators import vector
-
-    q = rows.where(F.col("id") % retrieval.EVERY == 0).select(F.col("id").alias("query_id"), F.lit(0).alias("row"), "vector")
-    scores = vector.maxsim_rows(rows, q).withColumn("score", F.round("score", 5))
+    scores = retrieval.cosine_scores(spark, d).withColumn("score", F.round("score", 5))
     return lexical.top_k(scores, 100).select("query_id", "id", "score", "rank")
 
 

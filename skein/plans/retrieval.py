@@ -73,10 +73,14 @@ def _chunk_queries(spark, d):
     return _chunks(spark, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "matrix")
 
 
+def cosine_scores(spark, d):
+    """Every fiftieth vector against all: late interaction of matrices of one row."""
+    rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.array("vector").alias("matrix"))
+    return vector.maxsim(rows, rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"))
+
+
 def cosine_topk(spark, d):
-    rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), "vector")
-    q = rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.lit(0).alias("row"), "vector")
-    scores = vector.maxsim_rows(rows, q).withColumn("score", F.round("score", 5))
+    scores = cosine_scores(spark, d).withColumn("score", F.round("score", 5))
     return lexical.top_k(scores, 10).select("query_id", "id", "score", "rank")
 
 

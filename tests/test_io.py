@@ -135,3 +135,28 @@ def test_streams(spark, data, tmp_path):
     assert run_to_end(once_only(s, "ts", ["event_id"])).count() <= e.count()
     counts = rolling_counts(file_stream(spark, f"file://{tmp_path}/in"), "ts", "event_type")
     assert run_to_end(counts).count() >= 0
+
+
+def test_coarse_index_recall(spark):
+    from skein.plans.evidence import ivf_recall
+
+    recall = [r["recall"] for r in ivf_recall(spark, "/root/testdata/sf0.1").collect()]
+    assert len(recall) == 40 and sum(recall) / len(recall) >= 0.9
+
+
+def test_shell_programs():
+    from skein.functions.code import programs
+
+    assert programs("cat a.py | head -5 && sudo make -j4; X=1 ls > out") == ["cat", "head", "make", "ls"]
+    assert programs("echo $(git status) 'a | b'") == ["echo", "git"]
+    assert programs("/usr/bin/env python x.py") == ["python"] and programs(None) == [] and programs("echo 'open") == ["echo"]
+
+
+def test_python_functions(spark):
+    from skein.functions.code import keyed_id, printable, shell_programs
+
+    df = spark.createDataFrame([("a\u0007b",), (None,), ("ls",)], "t string")
+    assert [r[0] for r in df.select(printable()(F.col("t"))).collect()] == ["a\\x07b", None, "ls"]
+    ids = [r[0] for r in df.select(keyed_id("k")(F.col("t"))).collect()]
+    assert ids[1] is None and len(ids[0]) == 24 and ids[0] != ids[2]
+    assert [list(r[0]) for r in df.select(shell_programs()(F.col("t"))).collect()][2] == ["ls"]
