@@ -31,45 +31,24 @@ _BASIC = r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d{1,12}))?" +
 _NAMED = r"^(?:[A-Za-z]{3,9}, )?(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{4}) " + _CLOCK + r"(?: ([AaPp][Mm]))?" + _ZONE
 
 
-def _text(s: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))
+def _layout(s: Column) -> Column:
+    """year|month|day|hour|minute|second|fraction|half of day|letters|zone name of the layout that matches, parts it lacks empty.
 
-
-def _calendar(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Column) -> Column:
-    stamp = F.concat(y, F.lit("-"), F.lpad(mo, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), F.lpad(h, 2, "0"), F.lit(":"), mi, F.lit(":"), F.coalesce(sec, F.lit("00")))
-    return stamp.try_cast("timestamp_ntz")
-
-
-def _parts(s: Column) -> Column:
-    """struct(wall, fraction, offset letters, zone name) of the one layout that matches."""
-
-    def pack(wall, frac, zone, name):
-        return F.struct(wall.alias("wall"), frac.alias("frac"), F.upper(zone).alias("zone"), name.alias("name"))
-
-    def numeric(p):
-        g = [_text(s, p, i) for i in range(1, 10)]
-        return pack(_calendar(*g[:6]), g[6], g[7], g[8])
-
-    g = [_text(s, _NAMED, i) for i in range(1, 11)]
-    at = F.instr(F.lit(MONTHS), F.lower(g[1]))
-    month = F.when((at > 0) & (at % 3 == 1), F.call_function("div", at + 2, F.lit(3))).cast("string")
-    hour12 = g[3].cast("int")
-    half = F.upper(g[7])
-    hour = (
-        F.when(half.isNull(), hour12)
-        .when((hour12 < 1) | (hour12 > 12), None)
-        .otherwise(hour12 % 12 + F.when(half == "PM", 12).otherwise(0))
-        .cast("string")
+    Each pattern is tried once and rewritten once.
+    """
+    plain = "$1|$2|$3|$4|$5|$6|$7||$8|$9"
+    return (
+        F.when(s.rlike(_ISO), F.regexp_replace(s, _ISO, plain))
+        .when(s.rlike(_BASIC), F.regexp_replace(s, _BASIC, plain))
+        .when(s.rlike(_NAMED), F.regexp_replace(s, _NAMED, "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10"))
     )
-    named = pack(_calendar(g[2], month, g[0], hour, g[4], g[5]), g[6], g[8], g[9])
-    return F.when(s.rlike(_ISO), numeric(_ISO)).when(s.rlike(_BASIC), numeric(_BASIC)).when(s.rlike(_NAMED), named)
 
 
 def _bare_number(s: Column) -> Column:
     """Milliseconds of a bare number in the one unit that puts it inside EPOCH_RANGE; digits are cut as integers."""
     number = s.rlike(r"^\d{9,19}(\.\d{1,15})?$")
-    whole = F.when(number, F.regexp_extract(s, r"^(\d+)", 1)).try_cast("bigint")
-    frac = F.rpad(F.regexp_extract(s, r"^\d+\.?(\d*)$", 1), 3, "0").substr(1, 3).try_cast("bigint")
+    whole = F.when(number, F.split_part(s, F.lit("."), F.lit(1))).try_cast("bigint")
+    frac = F.rpad(F.split_part(s, F.lit("."), F.lit(2)), 3, "0").substr(1, 3).try_cast("bigint")
     low, high = EPOCH_RANGE
 
     def within(scale: int) -> Column:
@@ -83,35 +62,39 @@ def _bare_number(s: Column) -> Column:
     )
 
 
-def epoch_millis(raw: Column, zone: Column) -> Column:
-    """Milliseconds since 1970 UTC, rounded down, of a stamp; null when it denotes no moment.
+def with_epoch_millis(df: DataFrame, raw: str = "raw", zone: str = "zone", name: str = "epoch_ms") -> DataFrame:
+    """`df` with the milliseconds since 1970 UTC, rounded down, of its stamps; null where one denotes no moment.
 
     A stamp with offset or zone letters follows those, a bracketed zone holds where there is no offset, and a
     stamp with neither is wall time in `zone` (UTC where that is null or unknown). Wall times that occur twice
     are the first of the two; skipped ones take the offset before the change. Empty texts, words, impossible
     dates and unknown zone letters give null.
     """
-    s = F.btrim(raw, F.lit(" \t\r\n"))
-    parts = _parts(s)
-    wall, letters = parts["wall"], parts["zone"]
-    sign = F.when(letters.startswith("-"), -1).otherwise(1)
+    kept = df.columns
+    s = F.btrim(F.col(raw), F.lit(" \t\r\n"))
+    df = df.withColumn("_s", s).withColumn("_p", F.split(_layout(F.col("_s")), r"\|", 10))
+    part = [F.col("_p")[i] for i in range(10)]
+    at = F.instr(F.lit(MONTHS), F.lower(part[1]))
+    month = F.when(part[1].rlike("^[0-9]"), part[1]).when((at > 0) & (at % 3 == 1), F.lpad(F.call_function("div", at + 2, F.lit(3)).cast("string"), 2, "0"))
+    hour12, half = part[3].try_cast("int"), F.upper(part[7])
+    hour = F.when(half == "", part[3]).when(hour12.between(1, 12), F.lpad((hour12 % 12 + F.when(half == "PM", 12).otherwise(0)).cast("string"), 2, "0"))
+    clock = F.concat(hour, F.lit(":"), part[4], F.lit(":"), F.when(part[5] == "", "00").otherwise(part[5]))
+    wall = F.concat(part[0], F.lit("-"), month, F.lit("-"), F.lpad(part[2], 2, "0"), F.lit(" "), clock).try_cast("timestamp_ntz")
+    df = df.withColumns({"_wall": wall, "_letters": F.nullif(F.upper(part[8]), F.lit("")), "_place": F.nullif(part[9], F.lit(""))})
+    letters = F.col("_letters")
     digits = F.rpad(F.regexp_replace(letters, "[^0-9]", ""), 4, "0")
     hours, minutes = digits.substr(1, 2).try_cast("int"), digits.substr(3, 2).try_cast("int")
-    numeric = F.when(letters.rlike("^[+-]") & (hours <= 18) & (minutes < 60), sign * (hours * 60 + minutes))
+    numeric = F.when(letters.rlike("^[+-]") & (hours <= 18) & (minutes < 60), F.when(letters.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes))
     named = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(ZONE_MINUTES.items()) for x in kv]), letters)
-    offset = F.coalesce(numeric, named)
     known = sorted(zoneinfo.available_timezones() - {"localtime", "Factory"})
-    host = F.when(zone.isin(known), zone).otherwise("UTC")
-    place = F.when(parts["name"].isNull(), host).when(parts["name"].isin(known), parts["name"])
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-    def seconds(ntz: Column) -> Column:
-        return F.call_function("div", F.timestamp_diff("MICROSECOND", origin, ntz), F.lit(1000000))
-
-    utc = F.convert_timezone(place, F.lit("UTC"), wall)
-    at = F.when(letters.isNotNull(), seconds(wall) - offset * 60).otherwise(seconds(utc))
-    millis = F.rpad(F.coalesce(parts["frac"], F.lit("0")), 3, "0").substr(1, 3).cast("bigint")
-    return F.coalesce(_bare_number(s), at * 1000 + millis)
+    place = F.coalesce("_place", zone)
+    place = F.when(place.isin(known), place).when(F.col("_place").isNull(), "UTC")
+    df = df.withColumns({"_offset": F.coalesce(numeric, named), "_place": place})
+    utc = F.when(letters.isNull(), F.convert_timezone(F.col("_place"), F.lit("UTC"), F.col("_wall"))).otherwise(F.col("_wall"))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
+    seconds = F.call_function("div", micros, F.lit(1000000)) - F.when(letters.isNull(), 0).otherwise(F.col("_offset") * 60)
+    millis = F.rpad(part[6], 3, "0").substr(1, 3).cast("bigint")
+    return df.withColumn(name, F.coalesce(_bare_number(F.col("_s")), seconds * 1000 + millis)).select(*[c for c in kept if c != name], name)
 
 
 def build_dictionary(stamps: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -122,7 +105,7 @@ def build_dictionary(stamps: DataFrame, known: DataFrame | None = None) -> DataF
     pairs = stamps.where(F.col("raw").isNotNull()).select("raw", F.coalesce("zone", F.lit("")).alias("zone")).distinct()
     if known is not None:
         pairs = pairs.join(known.select("raw", "zone"), ["raw", "zone"], "left_anti")
-    return pairs.select("raw", "zone", epoch_millis(F.col("raw"), F.col("zone")).alias("epoch_ms"))
+    return with_epoch_millis(pairs)
 
 
 class StampDictionary:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators.timestamps import StampDictionary, build_dictionary, epoch_millis, normalize, with_zone
+from skein.operators.timestamps import StampDictionary, build_dictionary, normalize, with_epoch_millis, with_zone
 from tests.util import rows
 
 CASES = [
@@ -48,7 +48,7 @@ def stamps(spark):
 
 
 def test_cases(stamps):
-    for r in stamps.withColumn("got", epoch_millis(F.col("raw"), F.col("zone"))).collect():
+    for r in with_epoch_millis(stamps, name="got").collect():
         assert r["got"] == r["want"], (r["raw"] or "")[:60]
 
 
