@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.ordered import last_before, running_sum
-from skein.session import json_kind, parse_line
+from skein.session import json_kind, materialize, parse_line
 
 BLANKS = " \t\r\n"
 MAX_RECORD_BYTES = 500_000
@@ -68,9 +68,9 @@ def claude_records(table: DataFrame) -> DataFrame:
         string_at(F.col("v"), "$.gitBranch").alias("branch"),
         F.when(json_kind(content) == "array", F.array_compact(tools)).alias("tools"),
     ).where(F.col("session_id").isNotNull())
-    first = rows.where(F.col("uuid").isNotNull()).groupBy("session_id", "uuid").agg(F.min("rec_id").alias("rec_id"))
-    named = rows.join(first, ["session_id", "uuid", "rec_id"], "left_semi")
-    return named.unionByName(rows.where(F.col("uuid").isNull()))
+    own = F.coalesce("uuid", F.concat(F.lit("\u0001"), F.col("rec_id").cast("string")))
+    first = Window.partitionBy("session_id", "_own").orderBy("rec_id")
+    return rows.withColumn("_own", own).withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_own", "_copy")
 
 
 def signal(records: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def episodes(records: DataFrame, lines_a_bucket: int = 512) -> DataFrame:
     A user record opens an episode if the open one has text by then; one without text folds into what follows. As a
     user record without boundary had no text before it, it is enough to look back to the user record before.
     """
-    rows = signal(records)
+    rows = materialize(signal(records), "records")  # three passes follow, over what was parsed once
     order, bucket = ["line_no", "rec_id"], F.call_function("div", F.col("line_no"), F.lit(lines_a_bucket))
     carries = F.when(F.col("signal") != "noise", 1).otherwise(0)
     told = running_sum(rows, "session_id", order, carries, "_upto", bucket).withColumn("_texts", F.col("_upto") - carries)
