@@ -41,8 +41,9 @@ def one_parent(links: DataFrame) -> DataFrame:
     return children.unionByName(above).groupBy("tree", "node").agg(F.max("parent").alias("parent"))
 
 
-def peel_local(tree: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    """The hierarchy of rows that fit in memory; `parent` may be null or name a node that isn't a row (then it is a root)."""
+def peel_local(tree: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.ndarray, rows: int = 5000) -> Iterator[pd.DataFrame]:
+    """The hierarchy of rows that fit in memory, `rows` at a time; `parent` may be null or name a node that isn't a row (then
+    it is a root). Paths are put together as they leave, so that only those of one batch are held."""
     n = len(node)
     place = {(t, x): i for i, (t, x) in enumerate(zip(tree, node))}
     up = np.fromiter((place.get((t, p), -1) if p is not None else -1 for t, p in zip(tree, parent)), np.int64, n)
@@ -68,37 +69,46 @@ def peel_local(tree: np.ndarray, node: np.ndarray, parent: np.ndarray, size: np.
             name = min(node[i] for i in ring)
             for i in ring:
                 cycle[i] = name
-    path: list[list[str] | None] = [None] * n
+    root, depth = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     for level in reversed(levels):
-        for i in level.tolist():
-            p = int(up[i])
-            if p < 0:
-                path[i] = [node[i]]
-            elif path[p] is None:
-                cycle[i] = cycle[p]
-            else:
-                path[i] = path[p] + [node[i]]
-    rooted = [p is not None for p in path]
-    return pd.DataFrame(
-        {
-            "tree": tree,
-            "node": node,
-            "parent": parent,
-            "root": [p[0] if p else None for p in path],
-            "depth": pd.array([len(p) - 1 if p else None for p in path], "Int64"),
-            "path": path,
-            "n_descendants": pd.array([int(s) - 1 if r else None for s, r in zip(size, rooted)], "Int64"),
-            "cycle_id": cycle,
-        }
-    )
+        p = up[level]
+        tops = level[p < 0]
+        root[tops], depth[tops] = tops, 0
+        below, p = level[p >= 0], p[p >= 0]
+        fine = root[p] >= 0
+        root[below[fine]], depth[below[fine]] = root[p[fine]], depth[p[fine]] + 1
+        for i, k in zip(below[~fine].tolist(), p[~fine].tolist()):
+            cycle[i] = cycle[k]
+
+    def path(i: int) -> list[str] | None:
+        if root[i] < 0:
+            return None
+        out = []
+        while i >= 0:
+            out.append(node[i])
+            i = int(up[i])
+        return out[::-1]
+
+    for a in range(0, n, rows):
+        at = range(a, min(a + rows, n))
+        yield pd.DataFrame(
+            {
+                "tree": tree[a : a + rows],
+                "node": node[a : a + rows],
+                "parent": parent[a : a + rows],
+                "root": [node[root[i]] if root[i] >= 0 else None for i in at],
+                "depth": pd.array([int(depth[i]) if root[i] >= 0 else None for i in at], "Int64"),
+                "path": [path(i) for i in at],
+                "n_descendants": pd.array([int(size[i]) - 1 if root[i] >= 0 else None for i in at], "Int64"),
+                "cycle_id": cycle[a : a + rows],
+            }
+        )
 
 
 def _peel_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches) or [pd.DataFrame(columns=["tree", "node", "parent", "size"])])
     parent = rows["parent"].astype(object).where(rows["parent"].notna(), None).to_numpy()
-    out = peel_local(rows["tree"].to_numpy(object), rows["node"].to_numpy(object), parent, rows["size"].to_numpy())
-    for i in range(0, len(out), 5000):
-        yield out.iloc[i : i + 5000]
+    yield from peel_local(rows["tree"].to_numpy(object), rows["node"].to_numpy(object), parent, rows["size"].to_numpy())
 
 
 def _label_rings(rings: DataFrame) -> DataFrame:

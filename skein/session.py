@@ -84,16 +84,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialized table that no later step reads."""
-    spark = df.sparkSession
-    known = {p for _, p in _made}
-    for path in known:
-        key = path.split("skein/", 1)[1]
-        if any(key in f for f in df.inputFiles()[:1]):
-            _delete(spark, path)
-
-
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows of a table of configuration size, or None when it has more than `limit`."""
     rows = df.limit(limit + 1).collect()
