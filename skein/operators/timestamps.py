@@ -126,17 +126,30 @@ class StampDictionary:
         return self.read()
 
 
+HOT_PART, SALTS = 256, 16
+
+
+def hot_marks(rows: DataFrame, mark: Column) -> list[int]:
+    """The marks that more than one in HOT_PART rows has: fewer than HOT_PART of them, whatever the rows."""
+    counts = rows.select(mark.alias("_mark")).groupBy("_mark").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    return [r["_mark"] for r in counts.where(F.col("n") * HOT_PART > total).collect()]
+
+
 def normalize(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """`rows` with columns raw and zone, and epoch_ms joined from the dictionary; rows without a moment keep null.
 
-    The dictionary holds each pair once, so a raw value of a third of all rows meets one dictionary row: rows of
-    such a value are spread by a salt of 16, with the dictionary repeated for each salt.
+    The dictionary holds each pair once, so a raw value of a third of all rows meets one dictionary row. Rows of such
+    values are spread over salts, for which alone the dictionary's row is repeated. `rows` is read twice: give a
+    table, not a long computation.
     """
-    salts = 16
-    wide = dictionary.select(F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), "epoch_ms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(salts)).cast("int"))
-    match = (F.col("raw") == F.col("_raw")) & (F.coalesce("zone", F.lit("")) == F.col("_zone")) & (spread["_salt"] == wide["_salt"])
-    return spread.join(wide, match, "left").drop("_raw", "_zone", "_salt")
+    mark = F.xxhash64("raw", F.coalesce("zone", F.lit("")))
+    hot = hot_marks(rows, mark)
+    salts = F.sequence(F.lit(0), F.when(mark.isin(hot), SALTS - 1).otherwise(0))
+    wide = dictionary.select(F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), "epoch_ms", F.explode(salts).alias("_salt"))
+    spread = rows.withColumn("_spread", F.when(mark.isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    match = (F.col("raw") == F.col("_raw")) & (F.coalesce("zone", F.lit("")) == F.col("_zone")) & (F.col("_spread") == F.col("_salt"))
+    return spread.join(wide, match, "left").drop("_raw", "_zone", "_salt", "_spread")
 
 
 def with_zone(rows: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.timestamps import PLAIN_UTC, StampDictionary, normalize, with_zone
-from skein.session import allow_duplicate_keys, fresh_path, parse_line, table
+from skein.session import allow_duplicate_keys, fresh_path, materialize, parse_line, table
 
 
 def stamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def stamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_zone(stamp_rows(spark, sf_dir), table(spark, sf_dir, "host_zones"))
+    rows = materialize(with_zone(stamp_rows(spark, sf_dir), table(spark, sf_dir, "host_zones")), "stamps")
     dictionary = StampDictionary(spark, fresh_path(spark, "stamps"))
     return normalize(rows, dictionary.extend(rows.select("raw", "zone")))
 
