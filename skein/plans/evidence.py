@@ -212,7 +212,20 @@ def ivf_recall(spark, d):
 _J = ledger._JOURNAL
 _E = ledger._E
 _CAND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '{p}'))) AS item FROM documents" for k, p in (("path", r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z0-9]+"), ("flag", r"--[a-z][a-z0-9-]+"), ("snake", r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+"), ("code", r"code=[0-9]+")))
+_BLOCKS = """WITH c AS (
+  SELECT 'claude' AS runtime, json_extract(record, '$.message.content') AS c FROM claude_records WHERE json_valid(record) AND json_type(record, '$.message') = 'OBJECT'
+  UNION ALL SELECT 'codex', json_extract(payload, '$.content') FROM codex_records WHERE json_valid(payload)),
+b AS (SELECT runtime, json_extract(c, '$[' || i || ']') AS b FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS i FROM c WHERE json_type(c) = 'ARRAY'))"""
 SQL = {
+    "evidence_census": _BLOCKS
+    + """ SELECT runtime, block_type, count(*) AS n FROM (
+  SELECT runtime, 'text' AS block_type FROM c WHERE json_type(c) = 'VARCHAR'
+  UNION ALL SELECT runtime, CASE WHEN json_type(b, '$.type') = 'VARCHAR' THEN b ->> '$.type' END FROM b) GROUP BY runtime, block_type""",
+    "call_census": _BLOCKS
+    + """, k AS (
+  SELECT runtime, json_type(b, '$.id') AS t FROM b WHERE runtime = 'claude' AND json_type(b, '$.type') = 'VARCHAR' AND (b ->> '$.type') = 'tool_use'
+  UNION ALL SELECT 'codex', json_type(payload, '$.call_id') FROM codex_records WHERE json_valid(payload) AND (payload ->> '$.type') IN ('function_call', 'custom_tool_call'))
+SELECT runtime, count(*) AS n_calls, count(*) FILTER (WHERE t <> 'NULL') AS n_identified FROM k GROUP BY runtime""",
     "candidate_extract": f"SELECT kind, item, count(*) AS df, min(doc_id) AS first_doc FROM ({_CAND}) GROUP BY kind, item",
     "rarest_identifiers": f"SELECT item, count(*) AS df FROM ({_CAND}) WHERE kind = 'snake' GROUP BY item ORDER BY df, length(item) DESC, item LIMIT 50",
     "first_mentions": f"WITH t AS MATERIALIZED (SELECT doc_id, created_at, {retrieval._TOK.format('text')} AS t FROM documents), r AS (SELECT DISTINCT doc_id, created_at, unnest(t) AS token FROM t) SELECT token, count(*) AS df, arg_min(doc_id, (created_at, doc_id)) AS first_doc FROM r GROUP BY token HAVING count(*) BETWEEN 2 AND 5",

@@ -214,7 +214,7 @@ def tariff_overlap_check(spark, d):
     t = _tariff(spark).unionByName(spark.createDataFrame([("Brand#11", "1994-12-01", "1995-02-01", 9)], "brand string, day_from string, day_to string, price bigint").select("brand", F.to_date("day_from").alias("day_from"), F.to_date("day_to").alias("day_to"), "price"))
     w = Window.partitionBy("brand").orderBy("day_from", "price")
     reach = F.max(F.coalesce("day_to", F.to_date(F.lit("9999-12-31")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return t.withColumn("_reach", reach).where(F.col("_reach") > F.col("day_from")).select("brand", "day_from", "price")
+    return t.withColumn("_reach", reach).where(F.col("_reach") > F.col("day_from")).select("brand", F.col("day_from").cast("string").alias("day_from"), "price")
 
 
 def _atoms(spark, d):
@@ -383,6 +383,8 @@ SELECT user_id, sum(CASE WHEN prev IS NULL OR prev_era <> era OR k < prev THEN k
     "tariff_range_join": """WITH t AS (SELECT 'Brand#1' || i AS brand, DATE '1992-01-01' AS f, DATE '1995-01-01' AS u, 100 + i AS price FROM range(1, 6) r(i) UNION ALL SELECT 'Brand#1' || i, DATE '1995-01-01', NULL, 200 + i FROM range(1, 6) r(i) UNION ALL SELECT 'Brand#2' || i, DATE '1994-06-01', NULL, 300 + i FROM range(1, 6) r(i)),
 l AS (SELECT p_brand AS brand, l_shipdate::DATE AS day, sum(l_quantity::BIGINT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT l.brand, sum(q)::BIGINT AS quantity, CASE WHEN count(price) = count(*) THEN sum(q * price)::BIGINT END AS cost, count(*) - count(price) AS unpriced_days FROM l LEFT JOIN t ON l.brand = t.brand AND day >= f AND (u IS NULL OR day < u) GROUP BY l.brand""",
+    "tariff_overlap_check": """WITH t AS (SELECT 'Brand#1' || i AS brand, DATE '1992-01-01' AS day_from, DATE '1995-01-01' AS u, 100 + i AS price FROM range(1, 6) r(i) UNION ALL SELECT 'Brand#1' || i, DATE '1995-01-01', NULL, 200 + i FROM range(1, 6) r(i) UNION ALL SELECT 'Brand#2' || i, DATE '1994-06-01', NULL, 300 + i FROM range(1, 6) r(i) UNION ALL SELECT 'Brand#11', DATE '1994-12-01', DATE '1995-02-01', 9)
+SELECT a.brand, a.day_from::VARCHAR AS day_from, a.price FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE b.brand = a.brand AND (b.day_from, b.price) < (a.day_from, a.price) AND coalesce(b.u, DATE '9999-12-31') > a.day_from)""",
     "scenario_credit_nested": _ATOMS
     + "".join(f", a{i} AS (SELECT source, lo, hi FROM a WHERE tier <= {i})" + _UNION.format(n=i, k="source,", t=f"a{i}", p="PARTITION BY source") for i in range(3))
     + " UNION ALL ".join(f" SELECT '{n}' AS scenario, sum(hi - lo)::BIGINT AS chars, (sum(hi - lo) // 4)::BIGINT AS tokens FROM u{i}" for i, n in enumerate(("conservative", "central", "optimistic"))),

@@ -55,26 +55,33 @@ rooted AS (
   UNION ALL
   SELECT l.runtime, l.c, l.p, r.root_id, r.depth + 1, r.path || '/' || l.c FROM rooted r JOIN links l ON l.runtime = r.runtime AND l.p = r.n),
 """
-SQL = {
-    "p2_found": _LINKS
-    + """
+_LOST = """
 lost AS (SELECT l.runtime, l.c, l.p FROM links l WHERE NOT EXISTS (SELECT 1 FROM rooted r WHERE r.runtime = l.runtime AND r.n = l.c)),
 walk AS (
   SELECT runtime, c AS start, p AS stop FROM lost
   UNION
   SELECT w.runtime, w.start, l.p FROM walk w JOIN lost l ON l.runtime = w.runtime AND l.c = w.stop),
-ring AS (SELECT runtime, start AS n FROM walk WHERE start = stop)
-SELECT w.runtime, w.start AS session_id, min(w.stop) AS cycle_id
-FROM walk w JOIN ring r ON r.runtime = w.runtime AND r.n = w.stop GROUP BY w.runtime, w.start
-""",
-    "p2_descendants": _LINKS
-    + """
+ring AS (SELECT runtime, start AS n FROM walk WHERE start = stop),
+found AS (
+  SELECT w.runtime, w.start AS session_id, min(w.stop) AS cycle_id
+  FROM walk w JOIN ring r ON r.runtime = w.runtime AND r.n = w.stop GROUP BY w.runtime, w.start)"""
+_DOWN = """
 down AS (
   SELECT runtime, p AS n, c AS d, 1::BIGINT AS distance FROM links l
   WHERE EXISTS (SELECT 1 FROM rooted r WHERE r.runtime = l.runtime AND r.n = l.c)
   UNION ALL
-  SELECT w.runtime, w.n, l.c, w.distance + 1 FROM down w JOIN links l ON l.runtime = w.runtime AND l.p = w.d)
-SELECT runtime, n AS session_id, d AS descendant_id, distance FROM down
-""",
+  SELECT w.runtime, w.n, l.c, w.distance + 1 FROM down w JOIN links l ON l.runtime = w.runtime AND l.p = w.d)"""
+SQL = {
+    "p2_found": _LINKS + _LOST + " SELECT runtime, session_id, cycle_id FROM found",
+    "p2_paths": _LINKS
+    + _LOST
+    + ","
+    + _DOWN
+    + """, sizes AS (SELECT runtime, n, count(*) AS k FROM down GROUP BY runtime, n)
+SELECT r.runtime, r.n AS session_id, r.parent_id, r.root_id, r.depth, r.path, coalesce(s.k, 0) AS n_descendants, NULL::VARCHAR AS cycle_id
+FROM rooted r LEFT JOIN sizes s ON s.runtime = r.runtime AND s.n = r.n
+UNION ALL
+SELECT f.runtime, f.session_id, l.p, NULL, NULL, NULL, NULL, f.cycle_id FROM found f JOIN lost l ON l.runtime = f.runtime AND l.c = f.session_id""",
+    "p2_descendants": _LINKS + _DOWN + " SELECT runtime, n AS session_id, d AS descendant_id, distance FROM down",
 }
 QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants}

@@ -229,6 +229,12 @@ FROM ep GROUP BY session_id, episode""",
     "codex_context": """WITH v AS (SELECT rec_id, file_name, coalesce(line_no, 0) AS line_no, coalesce(CASE WHEN json_type(payload, '$.type') = 'VARCHAR' THEN payload ->> '$.type' END, rec_type) AS kind,
   CASE WHEN json_type(payload, '$.cwd') = 'VARCHAR' THEN payload ->> '$.cwd' END AS c, CASE WHEN json_type(payload, '$.model') = 'VARCHAR' THEN payload ->> '$.model' END AS m FROM codex_records WHERE json_valid(payload))
 SELECT file_name, rec_id, kind, cwd, model FROM (SELECT *, last_value(c IGNORE NULLS) OVER w AS cwd, last_value(m IGNORE NULLS) OVER w AS model FROM v WINDOW w AS (PARTITION BY file_name ORDER BY line_no, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE kind IN ('message', 'function_call', 'custom_tool_call')""",
+    "pi_headers": """WITH v AS (
+  SELECT file_name, (coalesce(line_no, 0), rec_id) AS pos, record ->> '$.type' AS kind, CASE WHEN json_type(record, '$.id') = 'VARCHAR' THEN record ->> '$.id' END AS id,
+    CASE WHEN json_type(record, '$.rlmDepth') IN ('BIGINT', 'UBIGINT') THEN (record ->> '$.rlmDepth')::BIGINT END AS depth, CASE WHEN json_type(record, '$.modelId') = 'VARCHAR' THEN record ->> '$.modelId' END AS m
+  FROM pi_records WHERE json_valid(record)),
+h AS (SELECT file_name, arg_min({'id': id, 'depth': depth}, pos) FILTER (WHERE kind = 'session' AND id IS NOT NULL) AS h, arg_max(m, pos) FILTER (WHERE m IS NOT NULL) AS model FROM v GROUP BY file_name)
+SELECT file_name, h.id AS session_id, coalesce(h.depth, 0) > 0 AS is_child, model FROM h WHERE h IS NOT NULL""",
     "opencode_discovery": """WITH m AS (SELECT session_id, count(*) AS n, max(t) AS latest FROM (SELECT id, session_id, max(time_created) AS t FROM oc_message WHERE session_id IS NOT NULL GROUP BY id, session_id) GROUP BY session_id)
 SELECT s.id AS session_id, coalesce(n, 0) AS n_messages, latest AS latest_ms, sha256(coalesce(n, 0) || '|' || coalesce(latest::VARCHAR, '-')) AS fingerprint FROM (SELECT DISTINCT id FROM oc_session WHERE id IS NOT NULL) s LEFT JOIN m ON m.session_id = s.id""",
     "runtime_census": " UNION ALL ".join(f"SELECT '{r}' AS runtime, count(*) AS n_records, count(DISTINCT file_name) AS n_files FROM {r}_records" for r in ("claude", "codex", "pi")),

@@ -255,6 +255,7 @@ SELECT id, at_::BIGINT AS at, round(m / sqrt(sum(m * m) OVER (PARTITION BY id)),
     + """, n AS (SELECT query_id, id // 8 AS episode, id, greatest(0, score) AS score FROM raw),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, episode ORDER BY score DESC, id) AS rn FROM n)
 SELECT query_id, episode, max(CASE WHEN rn = 1 THEN id END) AS best_chunk, round(max(score) + 0.1 * coalesce(sum(CASE WHEN rn IN (2, 3) THEN score END), 0), 4) AS score FROM r GROUP BY query_id, episode""",
+    "token_pooling": "SELECT vec_id // 4 AS id, CASE WHEN count(*) < 3 THEN count(*) ELSE 1 + greatest((count(*) - 1) // 2, 1) END AS n_rows FROM embeddings GROUP BY vec_id // 4",
     "token_vector_census": "SELECT count(DISTINCT vec_id // 4) AS n_chunks, count(*) AS n_vectors FROM embeddings",
     "chunk_overlap": """WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[ \\n\\r\\t]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 p AS (SELECT id, w, unnest(range(0, greatest(0, len(w) - 26) + 1, 210)) AS start FROM w WHERE len(w) > 0)
