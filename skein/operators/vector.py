@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NORM_FLOOR = 1e-12
+#: Two-stage search rescores limit * OVERSAMPLE * WIDEN chunks a query, CANDIDATES_MIN at least.
+OVERSAMPLE, WIDEN, CANDIDATES_MIN = 8, 4, 200
 #: Query matrices sent to every task; a larger set of queries is refused and has to come in blocks.
 MAX_QUERY_BYTES = 64 << 20
 
@@ -83,8 +85,14 @@ def maxsim_rows(chunk_rows: DataFrame, query_rows: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "id").agg(F.sum("best").alias("score"))
 
 
-def two_stage(chunks: DataFrame, proxies: DataFrame, queries: DataFrame, query_proxies: DataFrame, candidates: int, k: int) -> DataFrame:
-    """The k best chunks of each query: by late interaction over the `candidates` nearest by proxy vector."""
+def candidate_depth(k: int) -> int:
+    return max(CANDIDATES_MIN, k * OVERSAMPLE * WIDEN)
+
+
+def two_stage(chunks: DataFrame, proxies: DataFrame, queries: DataFrame, query_proxies: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
+    """The k best chunks of each query: by late interaction over the `candidates` (candidate_depth(k) unless given) nearest by
+    proxy vector. A chunk further off by proxy is missed; `maxsim` is exact."""
+    candidates = candidate_depth(k) if candidates is None else candidates
     near = maxsim(proxies.select("id", F.array("proxy").alias("matrix")), query_proxies.select("query_id", F.array("proxy").alias("matrix")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     pool = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= candidates).select("query_id", "id")

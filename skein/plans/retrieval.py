@@ -99,7 +99,7 @@ def two_stage_search(spark, d):
     rows = _vectors(spark, d).withColumn("id", F.call_function("div", F.col("vec_id"), F.lit(4)))
     proxies = vector.unit_mean(rows, "id")
     qp = proxies.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "proxy")
-    out = vector.two_stage(_chunks(spark, d), proxies, _chunk_queries(spark, d), qp, 20, 10)
+    out = vector.two_stage(_chunks(spark, d), proxies, _chunk_queries(spark, d), qp, 10)
     return out.select("query_id", "id", F.round("score", 5).alias("score"))
 
 
