@@ -74,10 +74,15 @@ def rarest_identifiers(spark, d):
     return candidate_extract(spark, d).where("kind = 'snake'").orderBy("df", F.length("item").desc(), "item").limit(50).select("item", "df")
 
 
+def token_first_mentions(spark, d):
+    """The earliest document of each token, however many have it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "created_at", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return docs.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct(F.col("created_at").isNull(), "created_at", "id"))["id"].alias("first_doc"))
+
+
 def first_mentions(spark, d):
-    """The earliest document of each token that two to five documents have."""
-    rows = lexical.terms(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "created_at"), "id")
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("created_at", "id"))["id"].alias("first_doc")).where("df BETWEEN 2 AND 5")
+    """Of `token_first_mentions` the tokens that two to five documents have."""
+    return token_first_mentions(spark, d).where("df BETWEEN 2 AND 5")
 
 
 def contextual_search_text(spark, d):
@@ -228,6 +233,7 @@ SQL = {
 SELECT runtime, count(*) AS n_calls, count(*) FILTER (WHERE t <> 'NULL') AS n_identified FROM k GROUP BY runtime""",
     "candidate_extract": f"SELECT kind, item, count(*) AS df, min(doc_id) AS first_doc FROM ({_CAND}) GROUP BY kind, item",
     "rarest_identifiers": f"SELECT item, count(*) AS df FROM ({_CAND}) WHERE kind = 'snake' GROUP BY item ORDER BY df, length(item) DESC, item LIMIT 50",
+    "token_first_mentions": f"WITH t AS MATERIALIZED (SELECT doc_id, created_at, {retrieval._TOK.format('text')} AS t FROM documents), r AS (SELECT DISTINCT doc_id, created_at, unnest(t) AS token FROM t) SELECT token, count(*) AS df, arg_min(doc_id, (created_at IS NULL, created_at, doc_id)) AS first_doc FROM r GROUP BY token",
     "first_mentions": f"WITH t AS MATERIALIZED (SELECT doc_id, created_at, {retrieval._TOK.format('text')} AS t FROM documents), r AS (SELECT DISTINCT doc_id, created_at, unnest(t) AS token FROM t) SELECT token, count(*) AS df, arg_min(doc_id, (created_at, doc_id)) AS first_doc FROM r GROUP BY token HAVING count(*) BETWEEN 2 AND 5",
     "contextual_search_text": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(regexp_extract(rtrim(project, '/'), '([^/]*/)?[^/]*$'), ''), '[ \n\r\t]+'), lambda x: x <> '')[1:16] || list_filter(string_split_regex(string_split(text, chr(10))[1], '[ \n\r\t]+'), lambda x: x <> '')[1:40] || list_filter(string_split_regex(text, '[ \n\r\t]+'), lambda x: x <> '')[1:290] AS p FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(array_to_string(p[1:290], ' ')) AS digest, least(290, len(p)) AS n_words FROM w""",
@@ -259,5 +265,5 @@ SELECT CASE WHEN gap IS NULL THEN 'end' WHEN nt = 'signup' THEN 'turn' WHEN gap
 }
 QUERIES = {
     f.__name__: f
-    for f in (evidence_census, call_census, shell_census, pseudonyms, pi_context, copy_canonicalization, candidate_extract, rarest_identifiers, first_mentions, contextual_search_text, confusable_negatives, qrel_targets_missing, workspace_scope, relay_levels, contradiction_reasons, backfill_series, strongest_reuse, representative_receipt, evidence_admission, source_gap_reasons, histogram_buckets, deterministic_order, coverage_watermark, ivf_recall)
+    for f in (evidence_census, call_census, shell_census, pseudonyms, pi_context, copy_canonicalization, candidate_extract, rarest_identifiers, token_first_mentions, first_mentions, contextual_search_text, confusable_negatives, qrel_targets_missing, workspace_scope, relay_levels, contradiction_reasons, backfill_series, strongest_reuse, representative_receipt, evidence_admission, source_gap_reasons, histogram_buckets, deterministic_order, coverage_watermark, ivf_recall)
 }
