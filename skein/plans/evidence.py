@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import code
+from skein.functions import candidates, code
 from skein.functions import text as T
 from skein.operators import coarse_index, lexical
 from skein.operators.nested import flatten
@@ -60,8 +60,20 @@ def copy_canonicalization(spark, d):
     return rows.groupBy("session_id", "uuid").agg(F.min("rec_id").alias("rec_id"), F.count(F.lit(1)).alias("n_copies"), F.countDistinct("file_name").alias("n_files")).where("n_copies > 1")
 
 
+def candidate_scan(spark, d):
+    """Identifiers, paths, flags and error codes that documents name, by all classes, masks and exclusions, counted."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return candidates.scanned(docs).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("first_doc"))
+
+
+def candidate_keys(spark, d):
+    """Documents under each key by which names are compared."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return candidates.scanned(docs, keys=True).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("df"))
+
+
 def candidate_extract(spark, d):
-    """Identifiers, paths, flags and error codes that documents name, counted."""
+    """Names of four simple classes, counted; `candidate_scan` has all classes."""
     body = F.coalesce("text", F.lit(""))
     kinds = {"path": r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z0-9]+", "flag": r"--[a-z][a-z0-9-]+", "snake": r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+", "code": r"code=[0-9]+"}
     found = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all(body, F.lit(p), F.lit(0))).alias("items")) for k, p in kinds.items()])
@@ -265,5 +277,5 @@ SELECT CASE WHEN gap IS NULL THEN 'end' WHEN nt = 'signup' THEN 'turn' WHEN gap
 }
 QUERIES = {
     f.__name__: f
-    for f in (evidence_census, call_census, shell_census, pseudonyms, pi_context, copy_canonicalization, candidate_extract, rarest_identifiers, token_first_mentions, first_mentions, contextual_search_text, confusable_negatives, qrel_targets_missing, workspace_scope, relay_levels, contradiction_reasons, backfill_series, strongest_reuse, representative_receipt, evidence_admission, source_gap_reasons, histogram_buckets, deterministic_order, coverage_watermark, ivf_recall)
+    for f in (evidence_census, call_census, shell_census, pseudonyms, pi_context, copy_canonicalization, candidate_scan, candidate_keys, candidate_extract, rarest_identifiers, token_first_mentions, first_mentions, contextual_search_text, confusable_negatives, qrel_targets_missing, workspace_scope, relay_levels, contradiction_reasons, backfill_series, strongest_reuse, representative_receipt, evidence_admission, source_gap_reasons, histogram_buckets, deterministic_order, coverage_watermark, ivf_recall)
 }
