@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,12 +84,30 @@ def epoch_to_millis(value: Column) -> Column:
     return F.when(F.abs(value) >= 10_000_000_000, value).otherwise(value * 1000)
 
 
+def densest_start(text: Column, query: str, limit: int) -> Column:
+    """The start (from 1) of the window of `limit` characters with most occurrences of the query's tokens (three characters and
+    more): one window a token, a third before its first place, of equals the earliest; 1 when no token occurs."""
+    tokens = list(dict.fromkeys(re.findall(r"[\w./:-]{3,}", query.strip().lower())))
+    if not tokens:
+        return F.lit(1)
+    low = F.lower(text)
+    starts = F.array_compact(F.array(*[F.when(F.instr(low, F.lit(t)) > 0, F.greatest(F.lit(1), F.instr(low, F.lit(t)) - limit // 3)) for t in tokens]))
+
+    def hits(start: Column) -> Column:
+        window = low.substr(start, F.lit(limit))
+        left = [F.call_function("div", F.length(window) - F.length(F.replace(window, F.lit(t), F.lit(""))), F.lit(len(t))) for t in tokens]
+        return sum(left[1:], left[0])
+
+    best = F.array_max(F.transform(starts, lambda p: F.struct(hits(p).alias("n"), (-p).alias("at"))))
+    return F.coalesce(-best["at"], F.lit(1))
+
+
 def excerpt(text: Column, query: str, limit: int = EXCERPT_CHARS, snap: int = 40) -> Column:
-    """A stretch of at most `limit` characters around the first occurrence of a phrase (from the start without one), its
-    start moved to the next blank within `snap` characters, with dots where text was left out."""
+    """A stretch of at most `limit` characters around the first occurrence of a phrase, without one the stretch with most
+    of its words, its start moved to the next blank within `snap` characters, with dots where text was left out."""
     at = F.instr(F.lower(text), F.lit(query.lower()))
     centre = F.greatest(F.lit(1), at + len(query) // 2 - limit // 2)
-    start = F.when(at == 0, 1).otherwise(F.greatest(F.lit(1), F.least(centre, F.length(text) - limit + 1)))
+    start = F.greatest(F.lit(1), F.least(F.when(at == 0, densest_start(text, query, limit)).otherwise(centre), F.length(text) - limit + 1))
     near = F.instr(text.substr(start, F.lit(snap)), " ")
     start = F.when((start > 1) & (near > 0), start + near).otherwise(start)
     body = text.substr(start, F.lit(limit))
