@@ -180,7 +180,7 @@ def strip_markup(spark, d):
 
 
 def normalize_title(spark, d):
-    return _docs(spark, d).where(F.col("text").isNotNull()).select("id", T.truncated(T.normalized_title(F.col("text"), 200), 100).alias("title"))
+    return _docs(spark, d).where(F.col("text").isNotNull()).select("id", T.truncated(T.normalized_title(F.col("text")), 100).alias("title"))
 
 
 def project_tails(spark, d):

@@ -25,3 +25,11 @@ def test_first_mentions_of_all_tokens(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string, at string").selectExpr("doc_id", "text", "CAST(at AS timestamp_ntz) AS created_at").write.parquet(f"{d}/documents.parquet")
     assert rows(token_first_mentions(spark, d), "token", "df", "first_doc") == [("hot", 9, 8), ("once", 1, 3)]
     assert first_mentions(spark, d).count() == 0
+
+
+def test_title_behind_long_markup(spark, tmp_path):
+    from skein.plans.retrieval import normalize_title
+
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "<b>" + "x" * 300 + "</b> Title"), (2, " " * 250 + "Late"), (3, "y" * 300)], "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    assert rows(normalize_title(spark, d), "id", "title") == [(1, "Title"), (2, "Late"), (3, "y" * 97 + "...")]
