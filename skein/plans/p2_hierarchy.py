@@ -19,21 +19,21 @@ def session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(reduced).where(F.col("tree").isNotNull() & F.col("node").isNotNull())
 
 
-def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(one_parent(session_links(spark, sf_dir)))
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_parent(session_links(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hierarchy(spark, sf_dir).where(F.col("cycle_id").isNotNull())
+    rows = hierarchy(_nodes(spark, sf_dir), paths=False).where(F.col("cycle_id").isNotNull())
     return rows.select(F.col("tree").alias("runtime"), F.col("node").alias("session_id"), "cycle_id")
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hierarchy(spark, sf_dir).select(F.col("tree").alias("runtime"), F.col("node").alias("session_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants", "cycle_id")
+    return hierarchy(_nodes(spark, sf_dir)).select(F.col("tree").alias("runtime"), F.col("node").alias("session_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants", "cycle_id")
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(_hierarchy(spark, sf_dir)).select(F.col("tree").alias("runtime"), F.col("node").alias("session_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return descendants(_nodes(spark, sf_dir)).select(F.col("tree").alias("runtime"), F.col("node").alias("session_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 _LINKS = r"""

@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: dict[int, str] = {}
 
 
 def get_spark(app: str = "skein", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,13 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="skein-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -81,7 +86,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = path
+    weakref.finalize(out, _tables.pop, id(out), None)
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, once nothing that is still to run reads it."""
+    path = _tables.pop(id(df), None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
