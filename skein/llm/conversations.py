@@ -1,228 +1,264 @@
 """Conversations rebuilt from message rows with keyed streaming state.
 
-Messages arrive as facts: a turn of a session's time slice, a record's own id, a reference to another record, a sign
-that a session exists. Facts are routed to shards, so that a session of a third of all rows is spread over as many
-units as it has slices and ids. A shard's state buffers the facts of its open units; a unit closes when the event-time
-watermark has passed its last arrival by `timeout_ms`, or when the clock says that the input has ended. A closed unit
-emits what it knows, and stays buffered for `retain_ms`, so that a late arrival reopens it and emits a higher
-revision: nothing is dropped for being late. What the units emit is small and adds up to a verdict for each session.
+The state is keyed by (runtime, session, time slice), so that one session of a third of all rows is many keys. A slice
+buffers its turns and record ids; it closes when the event-time watermark has passed its last message by `timeout_ms`
+and then emits what it says: number of turns, first and last role, an unanswered turn, references to records it doesn't
+hold. The slices' rows add up to a verdict for each session.
+
+Late arrivals: Spark drops rows older than the watermark in front of a state with event-time timers. Only rows with an
+event time can be older, so facts come without one, and the times travel in rows of their own that do nothing but move
+the watermark (one for each Arrow batch). A late fact thus always reaches its slice, which emits again with a higher
+revision when it had closed before. The state stays as long as the stream, or `retain_ms` after closing; then
+a mark with the revision is all that is left, and rows that come still later are emitted as `stray`, to be seen in
+the verdict as `n_stray`: they are told, never lost silently.
+
+Slices still open when a finite input ends are read from the state store and summarised by the same rule.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.session import fresh_path, materialize
 
 SLICE_MS = 6 * 3600 * 1000
-TIMEOUT_MS, RETAIN_MS = 24 * 3600 * 1000, 365 * 24 * 3600 * 1000
-#: The time of turns without any: they come last.
-NO_TIME = 1 << 52
-#: Arrivals outside 1970 to 2100 count as the nearer of the two, so that a wrong clock can't close everything.
-LAST_ARRIVAL_MS = 4_102_444_800_000
-FACTS = "kind string, runtime string, session_id string, part bigint, uid string, role string, ts bigint, seq bigint, arrived_ms bigint"
-EMITTED = "kind string, runtime string, session_id string, part bigint, revision bigint, n bigint, first_role string, last_role string, broken boolean"
+TIMEOUT_MS, DELAY = 24 * 3600 * 1000, "1 hour"
+#: The time of turns without any: they come last, in slices of this many by their order of arrival.
+NO_TIME, SEQ_SLICE = 1 << 52, 4096
+#: A message isn't written after its arrival: a stamp this much later is a wrong clock.
+AHEAD_MS = 24 * 3600 * 1000
+#: Micro-batches in which `replay` sends a table that is there already.
+BATCHES = 3
+FACTS = "runtime string, session_id string, part bigint, uid string, parent string, role string, ts bigint, seq bigint, clock_ms bigint"
+EMITTED = "kind string, runtime string, session_id string, part bigint, revision bigint, n bigint, first_role string, last_role string, broken boolean, lost array<string>, own array<string>"
+STATE = "ids array<string>, roles array<string>, times array<bigint>, seqs array<bigint>, parents array<string>, last_ms bigint, revision bigint, open boolean, gone boolean"
 _COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
-_UNIT = ["kind", "runtime", "session_id", "part"]
+_OUT = [c.split()[0] for c in EMITTED.split(", ")]
+_KEY = ["runtime", "session_id", "part"]
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _part(ts: Column, seq: Column, slice_ms: int) -> Column:
+    late = F.lit(NO_TIME // slice_ms) + F.floor(F.coalesce(seq, F.lit(0)) / SEQ_SLICE)
+    return F.coalesce(F.floor(ts / slice_ms), late).cast("bigint")
 
 
 def facts_of(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     """Facts of messages(runtime, session_id, uid, parent, role, ts, seq, arrived); `role` is null for what is no turn.
 
-    A message without uid is a message of its own. Rows without a session are left out.
+    A message without uid is a message of its own. Rows without a session are left out. The clock of a message is its time,
+    or its arrival where it has none or one more than AHEAD_MS after it, so that a wrong stamp can't close everything.
     """
     held = messages.where(F.col("session_id").isNotNull())
-    clamped = F.least(F.greatest(F.coalesce(F.unix_millis("arrived"), F.lit(0)), F.lit(0)), F.lit(LAST_ARRIVAL_MS))
-    held = held.withColumn("arrived", F.timestamp_millis(clamped))
-    none = F.lit(None)
     own = F.coalesce("uid", F.concat(F.lit("\u0001"), F.col("seq").cast("string")))
-    ts = F.coalesce("ts", F.lit(NO_TIME))
+    arrived = F.unix_millis(F.coalesce("arrived", F.current_timestamp()))
+    clock = F.when(F.col("ts").between(0, arrived + AHEAD_MS), F.col("ts")).otherwise(F.unix_millis("arrived"))
+    return held.select("runtime", "session_id", _part(F.col("ts"), F.col("seq"), slice_ms).alias("part"), own.alias("uid"), "parent", "role", F.coalesce("ts", F.lit(NO_TIME)).alias("ts"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), clock.alias("clock_ms"))
 
-    def fact(when, kind, part, uid, role=none, at=none):
-        row = F.struct(F.lit(kind).alias("kind"), part.cast("bigint").alias("part"), uid.cast("string").alias("uid"), role.cast("string").alias("role"), at.cast("bigint").alias("ts"))
-        return F.when(when, row)
 
-    def spread(uid):
-        return F.pmod(F.xxhash64(uid), F.lit(1 << 20))
+def _with_ticks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts without event time, and after each batch a row without a session that carries the latest."""
+    schema = pa.schema([*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in FACTS.split(", ")), ("clock", pa.timestamp("us", "UTC"))])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in _COLUMNS]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, schema.field("clock").type)], schema=schema)
+        last = pc.max(batch.column("clock_ms")).as_py()
+        if last is not None:
+            tick = {c: [None] for c in _COLUMNS} | {"clock": [last * 1000]}
+            yield pa.RecordBatch.from_pydict(tick, schema=schema)
+
+
+def summary(ids, roles, times, seqs, parents) -> tuple:
+    """(n, first role, last role, broken, lost, own) of one slice: its turns by (time, arrival), whether a user's turn is followed
+    by another's, parents that are none of its records, its records."""
+    turns = sorted((t, s, i, r) for i, r, t, s in zip(ids, roles, times, seqs) if r is not None)
+    order = [r for *_, r in turns]
+    broken = any(a == b == "user" for a, b in zip(order, order[1:]))
+    held = set(ids)
+    return len(order), order[0] if order else None, order[-1] if order else None, broken, [p for p in parents if p not in held], [i for i in ids if not i.startswith("\u0001")]
+
+
+def merged(held: tuple, uids, parents, roles, times, seqs) -> tuple[tuple, bool]:
+    """The slice's (ids, roles, times, seqs, parents) with more facts, and whether they changed it. Copies of a record are one: the
+    first to arrive that is a turn tells role and time."""
+    known = {i: (r, t, s) for i, r, t, s in zip(*held[:4])}
+    above = dict.fromkeys(held[4])
+    changed = False
+    for uid, parent, role, ts, seq in zip(uids, parents, roles, times, seqs):
+        old = known.get(uid)
+        new = (role, ts, seq)
+        if old is None or (role is not None and (old[0] is None or seq < old[2])):
+            changed |= old != new
+            known[uid] = new
+        if parent is not None and parent not in above:
+            above[parent] = None
+            changed = True
+    values = list(known.values())
+    return (list(known), [v[0] for v in values], [v[1] for v in values], [v[2] for v in values], list(above)), changed
+
+
+def _slice(timeout_ms: int, retain_ms: int | None):
+    """The state function of one (runtime, session, slice)."""
 
-    facts = F.array(
-        fact(F.lit(True), "seen", F.lit(0), none),
-        fact(F.col("role").isNotNull(), "turn", F.floor(ts / slice_ms), own, F.col("role"), ts),
-        fact(F.col("uid").isNotNull(), "own", spread(F.col("uid")), F.col("uid")),
-        fact(F.col("parent").isNotNull(), "ref", spread(F.col("parent")), F.col("parent")),
-    )
-    rows = held.select("runtime", "session_id", "seq", "arrived", F.explode(F.array_compact(facts)).alias("f"))
-    return rows.select("f.kind", "runtime", "session_id", "f.part", "f.uid", "f.role", "f.ts", "seq", F.unix_millis("arrived").alias("arrived_ms"), "arrived")
+    def run(key, frames, state):
+        runtime, session_id, part = key
+        if session_id is None:  # rows that only move the watermark
+            return
+        *held, last, revision, open_, gone = state.get if state.exists else ([], [], [], [], [], 0, 0, False, False)
+        changed, strays = False, 0
+        if not state.hasTimedOut:
+            for pdf in frames:
+                pdf = pdf.astype(object).where(pdf.notna(), None)
+                if gone:
+                    strays += len(pdf)
+                    continue
+                held, new = merged(tuple(held), pdf.uid, pdf.parent, pdf.role, pdf.ts.map(int), pdf.seq.map(int))
+                changed |= new
+                last = max([last, *(int(x) for x in pdf.clock_ms if x is not None)])
+        now = state.getCurrentWatermarkMs()
+        due = last + timeout_ms
+        open_ = open_ or changed
+        out = []
+        if strays:
+            revision += 1
+            out.append(("stray", runtime, session_id, part, revision, strays, None, None, None, [], []))
+        elif open_ and due <= now:
+            revision, open_ = revision + 1, False
+            out.append(("slice", runtime, session_id, part, revision, *summary(*held)))
+        if not gone and not open_ and retain_ms is not None and due + retain_ms <= now:
+            held, gone = ([], [], [], [], []), True
+        state.update((*held, last, revision, open_, gone))
+        if not gone:
+            later = due if open_ else None if retain_ms is None else due + retain_ms
+            if later is not None:
+                state.setTimeoutTimestamp(max(later, now + 1))
+        if out:
+            yield pd.DataFrame(out, columns=_OUT).astype({"broken": object})
 
+    return run
 
-def _combine(facts: pa.Table) -> pa.Table:
-    """Equal facts once: the smallest seq of those of one id, the last arrival."""
-    # References and ids of one name share a unit; copies of one message are one turn.
-    grouped = facts.sort_by([("seq", "ascending")]).group_by(["kind", "runtime", "session_id", "part", "uid"], use_threads=False)
-    out = grouped.aggregate([("role", "first"), ("ts", "first"), ("seq", "min"), ("arrived_ms", "max")])
-    return out.rename_columns([c.replace("_first", "").replace("_min", "").replace("arrived_ms_max", "arrived_ms") for c in out.column_names]).select(_COLUMNS)
 
+def stream_units(messages: DataFrame, delay: str = DELAY, slice_ms: int = SLICE_MS, timeout_ms: int = TIMEOUT_MS, retain_ms: int | None = None) -> DataFrame:
+    """The streaming operator: what the slices of a stream of messages say, emitted when the watermark closes them."""
+    return _units_of_facts(facts_of(messages, slice_ms), delay, timeout_ms, retain_ms)
 
-def _precombine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            out = _combine(pa.Table.from_batches([batch]).select(_COLUMNS))
-            yield from out.to_batches()
-
-
-def summarize(facts: pd.DataFrame) -> pd.DataFrame:
-    """What each unit of `facts` says: of a slice its turns, their first and last role and whether a user's turn lacks its
-    reply; of ids the number of references without a record; of a session that it is there."""
-    out = []
-    turns = facts[facts.kind == "turn"].sort_values([*_UNIT, "ts", "seq"], kind="stable")
-    if len(turns):
-        same = (turns[_UNIT] == turns[_UNIT].shift()).all(axis=1)
-        turns = turns.assign(broken=same & (turns.role == "user") & (turns.role.shift() == "user"))
-        g = turns.groupby(_UNIT, sort=False)
-        out.append(pd.DataFrame({"n": g.size(), "first_role": g.role.first(), "last_role": g.role.last(), "broken": g.broken.any()}).reset_index())
-    names = facts[facts.kind.isin(["own", "ref"])]
-    if len(names):
-        own = names[names.kind == "own"][["runtime", "session_id", "uid"]].drop_duplicates()
-        ref = names[names.kind == "ref"]
-        left = ref.merge(own.assign(found=True), how="left", on=["runtime", "session_id", "uid"])
-        left = left.assign(n=left.found.isna().astype("int64"))
-        if len(left):
-            out.append(left.groupby(_UNIT, sort=False).n.sum().reset_index())
-    seen = facts[facts.kind == "seen"]
-    if len(seen):
-        out.append(seen[_UNIT].drop_duplicates().assign(n=1))
-    if not out:
-        return pd.DataFrame(columns=[*_UNIT, "n", "first_role", "last_role", "broken"])
-    return pd.concat(out, ignore_index=True)
-
-
-def _shard(timeout_ms: int, retain_ms: int):
-    """The state function: (facts as Arrow bytes) -> emitted rows of the units that close."""
 
-    def run(key, frames, state):
-        held = []
-        revision: dict[tuple, int] = {}
-        if state.exists:
-            blob, marks = state.get
-            held.append(pa.ipc.open_stream(blob).read_all())
-            revision = {tuple(k): v for k, v in pd.read_json(io.StringIO(marks), orient="values").values.tolist()} if marks else {}
-        clock, fresh = None, []
-        for pdf in frames:
-            tick = pdf.kind == "tick"
-            if tick.any():
-                clock = max(clock or 0, int(pdf.arrived_ms[tick].max()))
-            pdf = pdf[~tick]
-            if len(pdf):
-                fresh.append(pa.Table.from_pandas(pdf[_COLUMNS], schema=_ARROW, preserve_index=False))
-                if len(fresh) >= 8:
-                    fresh = [_combine(pa.concat_tables(fresh))]
-        facts = _combine(pa.concat_tables([*held, *fresh])) if held or fresh else _ARROW.empty_table()
-        now = max(state.getCurrentWatermarkMs(), clock or 0)
-        rows = facts.to_pandas()
-        if not len(rows):
-            return
-        # References and ids of one name close together.
-        rows["group"] = rows.kind.where(rows.kind != "own", "ref")
-        unit = ["group", "runtime", "session_id", "part"]
-        last = rows.groupby(unit, sort=False).arrived_ms.transform("max")
-        size = rows.groupby(unit, sort=False).arrived_ms.transform("size")
-        closed = rows[(last + timeout_ms <= now)]
-        changed = closed
-        if revision and len(closed):
-            known = pd.Series([revision.get((*k,), 0) for k in closed[unit].itertuples(index=False, name=None)], index=closed.index)
-            changed = closed[known != size[closed.index]]
-        out = summarize(changed)
-        if len(out):
-            # The number of facts a unit had when it closed tells its revisions apart and orders them.
-            counts = changed.groupby(unit, sort=False).size().rename("revision").reset_index()
-            out["group"] = out.kind.where(out.kind != "own", "ref")
-            out = out.merge(counts, on=unit)
-            revision.update({tuple(k): int(v) for *k, v in counts.itertuples(index=False, name=None)})
-        keep = rows[last + timeout_ms + retain_ms > now]
-        if len(keep):
-            sink = io.BytesIO()
-            table = pa.Table.from_pandas(keep[_COLUMNS], schema=_ARROW, preserve_index=False)
-            with pa.ipc.new_stream(sink, _ARROW) as writer:
-                writer.write_table(table)
-            marks = pd.Series([[list(k), v] for k, v in revision.items()]).to_json(orient="values") if revision else ""
-            state.update((sink.getvalue(), marks))
-        elif state.exists:
-            state.remove()
-        if len(out):
-            for c in ("first_role", "last_role", "broken"):
-                if c not in out:
-                    out[c] = None
-            yield out[["kind", "runtime", "session_id", "part", "revision", "n", "first_role", "last_role", "broken"]].astype({"broken": object})
+def _units_of_facts(facts: DataFrame, delay: str, timeout_ms: int, retain_ms: int | None) -> DataFrame:
+    ticked = facts.select(*_COLUMNS).mapInArrow(_with_ticks, f"{FACTS}, clock timestamp").withWatermark("clock", delay)
+    return ticked.groupBy(*_KEY).applyInPandasWithState(_slice(timeout_ms, retain_ms), EMITTED, STATE, "append", "EventTimeTimeout")
 
-    return run
 
+def open_units(spark, checkpoint: str) -> DataFrame:
+    """What the slices that are open in the state store of a stopped stream would say."""
+    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*").where("open")
 
-_ARROW = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in FACTS.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [("slice", r.runtime, r.session_id, r.part, r.revision + 1, *summary(*([*x] for x in (r.ids, r.roles, r.times, r.seqs, r.parents)))) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=_OUT).astype({"broken": object})
 
+    return held.mapInPandas(run, EMITTED)
 
-def stream_units(messages: DataFrame, clock: DataFrame, n_shards: int, delay: str = "1 hour", slice_ms: int = SLICE_MS, timeout_ms: int = TIMEOUT_MS, retain_ms: int = RETAIN_MS) -> DataFrame:
-    """The streaming operator: emitted units of a stream of messages, closed by watermark or by `clock`(arrived)."""
-    facts = facts_of(messages, slice_ms).select(*_COLUMNS).mapInArrow(_precombine, FACTS)
-    shard = F.pmod(F.xxhash64("runtime", "session_id", "part"), F.lit(n_shards)).cast("int")
-    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in FACTS.split(", ")]
-    ticks = clock.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit("tick").alias("kind"), *none[1:-1], F.unix_millis("arrived").alias("arrived_ms"))
-    stamped = facts.withColumn("shard", shard).unionByName(ticks).withColumn("arrived", F.timestamp_millis("arrived_ms")).withWatermark("arrived", delay)
-    return stamped.groupBy("shard").applyInPandasWithState(_shard(timeout_ms, retain_ms), EMITTED, "facts binary, revisions string", "append", "NoTimeout")
 
+class Feed:
+    """A running stream of facts that is given its input piece by piece, each a micro-batch at least."""
 
-def run_stream(spark, messages: DataFrame, batches_of_files: bool = False, n_shards: int | None = None, **settings) -> DataFrame:
-    """Run the operator over all that is there, to the end of the input, and return the table of emitted units.
+    def __init__(self, spark, slice_ms: int = SLICE_MS, delay: str = DELAY, timeout_ms: int = TIMEOUT_MS, retain_ms: int | None = None):
+        self.spark, self.slice_ms = spark, slice_ms
+        self.base = fresh_path(spark, "stream")
+        spark.createDataFrame([], FACTS).write.parquet(f"{self.base}/facts")
+        before = {k: spark.conf.get(k, None) for k in _ROCKS}
+        for k, v in _ROCKS.items():
+            spark.conf.set(k, v)
+        try:
+            facts = spark.readStream.schema(FACTS).parquet(f"{self.base}/facts")
+            units = _units_of_facts(facts, delay, timeout_ms, retain_ms)
+            self.query = units.writeStream.format("parquet").option("path", f"{self.base}/units").option("checkpointLocation", f"{self.base}/state").outputMode("append").start()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    In one micro-batch the clock comes with the data; in several (`batches_of_files`, when the sources limit the files a
-    batch takes) it is started again with the clock once the data is through.
-    """
-    n_shards = n_shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = fresh_path(spark, "stream")
-    end = spark.range(1).select(F.lit("2200-01-01 00:00:00").cast("timestamp").alias("arrived"))
-    early = end.limit(0) if batches_of_files else end
-    early.write.parquet(f"{base}/clock")
-    clock = spark.readStream.schema("arrived timestamp").parquet(f"{base}/clock")
-    units = stream_units(messages, clock, n_shards, **settings)
+    def send(self, messages: DataFrame) -> None:
+        self.send_facts(facts_of(messages, self.slice_ms))
 
-    def once():
-        query = units.writeStream.format("parquet").option("path", f"{base}/units").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+    def send_facts(self, facts: DataFrame) -> None:
+        facts.select(*_COLUMNS).write.mode("append").parquet(f"{self.base}/facts")
+        self.query.processAllAvailable()
 
-    once()
-    if batches_of_files:
-        end.write.mode("append").parquet(f"{base}/clock")
-        once()
-    return spark.read.schema(EMITTED).parquet(f"{base}/units")
+    def emitted(self) -> DataFrame:
+        return self.spark.read.schema(EMITTED).parquet(f"{self.base}/units")
 
+    def end(self) -> DataFrame:
+        """All that was emitted and what is still open."""
+        self.query.processAllAvailable()
+        self.query.stop()
+        return self.emitted().unionByName(materialize(open_units(self.spark, f"{self.base}/state"), "open"))
 
-def verdicts(units: DataFrame) -> DataFrame:
-    """(runtime, session_id, n_turns, n_lost, kept, reason) of emitted units: the highest revision of each unit counts.
+
+def replay(messages: DataFrame, batches: int = BATCHES, slice_ms: int = SLICE_MS, **settings) -> DataFrame:
+    """The emitted rows of a table of messages, sent through the stream in order of arrival in `batches` pieces.
+
+    What arrives in a later piece than its slice closed in is late, and revises it.
+    """
+    spark = messages.sparkSession
+    when = F.coalesce(F.unix_millis("arrived"), F.col("ts"), F.lit(0))
+    table = materialize(messages.where(F.col("session_id").isNotNull()).withColumn("_when", when), "messages")
+    cuts = table.agg(F.percentile_approx("_when", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
+    bounds = [None, *(cuts or []), None]
+    feed = Feed(spark, slice_ms, **settings)
+    for low, high in zip(bounds, bounds[1:]):
+        part = table
+        if low is not None:
+            part = part.where(F.col("_when") > low)
+        if high is not None:
+            part = part.where(F.col("_when") <= high)
+        feed.send(part)
+    return feed.end()
+
+
+def verdicts(units: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(runtime, session_id, n_turns, n_lost, n_stray, kept, reason) of emitted rows: the highest revision of each slice counts.
 
     A session is kept if it has turns, the first is the user's, each user's turn is followed at once by an
-    assistant's, and every reference is to one of its records. Slices of a session follow each other in time.
+    assistant's, and every reference is to one of its records. Slices of a session follow each other in time. Sessions of
+    `known`(runtime, session_id) without any record are empty. `n_stray` counts rows that came when the state was gone;
+    they are in no other column.
     """
-    newest = units.groupBy("kind", "runtime", "session_id", "part").agg(F.max_by(F.struct("n", "first_role", "last_role", "broken"), "revision").alias("u"))
-    flat = newest.select("kind", "runtime", "session_id", "part", "u.*")
-    turns = flat.where("kind = 'turn'")
+    flat = units.where("kind = 'slice'").groupBy(*_KEY).agg(F.max_by(F.struct("n", "first_role", "last_role", "broken", "lost", "own"), "revision").alias("u")).select(*_KEY, "u.*")
+    flat = materialize(flat, "slices")
     by_time = Window.partitionBy("runtime", "session_id").orderBy("part")
-    turns = turns.withColumn("_before", F.lag("last_role").over(by_time))
+    turns = flat.where("n > 0").withColumn("_before", F.lag("last_role").over(by_time))
     turns = turns.withColumn("broken", F.col("broken") | ((F.col("_before") == "user") & (F.col("first_role") == "user")))
-    row = flat.where("kind <> 'turn'").select("runtime", "session_id", F.when(F.col("kind") == "ref", F.col("n")).alias("n_lost"))
+    # References that no record of the slice answers are looked up among the session's other slices.
+    asked = flat.select("runtime", "session_id", F.explode("lost").alias("id")).distinct()
+    own = flat.join(asked.select("runtime", "session_id").distinct(), ["runtime", "session_id"], "left_semi").select("runtime", "session_id", F.explode("own").alias("id"))
+    lost = asked.join(own, ["runtime", "session_id", "id"], "left_anti").select("runtime", "session_id", F.lit(1).alias("n_lost"))
+    row = flat.select("runtime", "session_id").unionByName(lost, allowMissingColumns=True)
+    row = row.unionByName(units.where("kind = 'stray'").select("runtime", "session_id", F.col("n").alias("n_stray")), allowMissingColumns=True)
     row = row.unionByName(turns.select("runtime", "session_id", F.col("n").alias("n_turns"), F.struct("part", "first_role").alias("first"), F.struct("part", "last_role").alias("last"), "broken"), allowMissingColumns=True)
-    told = row.groupBy("runtime", "session_id").agg(F.coalesce(F.sum("n_turns"), F.lit(0)).alias("n_turns"), F.coalesce(F.sum("n_lost"), F.lit(0)).alias("n_lost"), F.min("first")["first_role"].alias("first_role"), F.max("last")["last_role"].alias("last_role"), F.max("broken").alias("broken"))
+    if known is not None:
+        row = row.unionByName(known.where(F.col("session_id").isNotNull()).select("runtime", "session_id"), allowMissingColumns=True)
+    zero = F.lit(0)
+    sums = [F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("n_turns", "n_lost", "n_stray")]
+    told = row.groupBy("runtime", "session_id").agg(*sums, F.min("first")["first_role"].alias("first_role"), F.max("last")["last_role"].alias("last_role"), F.max("broken").alias("broken"))
     reason = (
         F.when(F.col("n_turns") == 0, "empty")
         .when(F.col("n_lost") > 0, "broken")
         .when(F.col("first_role") != "user", "headless")
         .when(F.col("broken") | (F.col("last_role") == "user"), "unanswered")
     )
-    return told.select("runtime", "session_id", "n_turns", "n_lost", reason.isNull().alias("kept"), reason.alias("reason"))
+    return told.select("runtime", "session_id", "n_turns", "n_lost", "n_stray", reason.isNull().alias("kept"), reason.alias("reason"))
 
 
 def ordered_turns(turns: DataFrame, told: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
@@ -235,7 +271,7 @@ def ordered_turns(turns: DataFrame, told: DataFrame, slice_ms: int = SLICE_MS) -
     own = F.coalesce("uid", F.concat(F.lit("\u0001"), F.col("seq").cast("string")))
     first = Window.partitionBy("runtime", "session_id", "_own").orderBy("seq")
     rows = turns.join(kept, ["runtime", "session_id"], "left_semi").withColumn("_own", own).withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
-    rows = materialize(rows.withColumn("ts", F.coalesce("ts", F.lit(NO_TIME))).withColumn("_part", F.floor(F.col("ts") / slice_ms)).drop("_own", "_copy"), "turns")
+    rows = materialize(rows.withColumn("_part", _part(F.col("ts"), F.col("seq"), slice_ms)).withColumn("ts", F.coalesce("ts", F.lit(NO_TIME))).drop("_own", "_copy"), "turns")
     sizes = rows.groupBy("runtime", "session_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("runtime", "session_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")

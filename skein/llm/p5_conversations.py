@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.conversations import ordered_turns, run_stream, verdicts
+from skein.llm.conversations import ordered_turns, replay, verdicts
 from skein.session import allow_duplicate_keys, json_kind, materialize, parse_line, table
 
 BLANKS = " \t\r\n"
@@ -47,28 +47,16 @@ def opencode_messages(messages: DataFrame) -> DataFrame:
     body = _text(F.try_variant_get("v", "$.content", "variant"))
     role = _turn_role(_string(F.col("v"), "$.role"), body)
     rows = v.select(F.lit("opencode").alias("runtime"), "session_id", F.col("id").alias("uid"), F.lit(None).cast("string").alias("parent"), role.alias("role"), ts.alias("ts"), body.alias("text"))
-    # No column holds the order of arrival: of equal times the smaller id comes first.
-    return rows.withColumn("seq", F.coalesce(F.regexp_extract("uid", r"(\d{1,15})\D*$", 1).try_cast("bigint"), F.lit(0))).withColumn("arrived", F.coalesce(F.timestamp_millis("ts"), F.timestamp_millis(F.lit(0))))
-
-
-def opencode_sessions(sessions: DataFrame) -> DataFrame:
-    none = F.lit(None)
-    return sessions.select(F.lit("opencode").alias("runtime"), F.col("id").alias("session_id"), none.cast("string").alias("uid"), none.cast("string").alias("parent"), none.cast("string").alias("role"), none.cast("bigint").alias("ts"), none.cast("string").alias("text"), F.lit(0).cast("bigint").alias("seq"), F.timestamp_millis(F.lit(0)).alias("arrived"))
-
-
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
-    # A stream reads a folder or a pattern, not one file by its name.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if whole else f"{path[:-1]}[t]")
+    # No column holds the order of arrival: rows are taken to come at their time, of equal ones the smaller id first.
+    return rows.withColumn("seq", F.coalesce(F.regexp_extract("uid", r"(\d{1,15})\D*$", 1).try_cast("bigint"), F.lit(0))).withColumn("arrived", F.lit(None).cast("timestamp"))
 
 
 def session_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' messages, sent through the stream in order of arrival."""
     allow_duplicate_keys(spark)
-    parts = [claude_messages(_stream(spark, sf_dir, "claude_records")), opencode_messages(_stream(spark, sf_dir, "oc_message")), opencode_sessions(_stream(spark, sf_dir, "oc_session"))]
-    messages = parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("text")
-    return verdicts(run_stream(spark, messages))
+    messages = claude_messages(table(spark, sf_dir, "claude_records")).unionByName(opencode_messages(table(spark, sf_dir, "oc_message"))).drop("text")
+    known = table(spark, sf_dir, "oc_session").select(F.lit("opencode").alias("runtime"), F.col("id").alias("session_id"))
+    return verdicts(replay(messages), known)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import p5_conversations as P5
-from skein.llm.conversations import ordered_turns, run_stream, verdicts
+from skein.llm.conversations import Feed, ordered_turns, replay, verdicts
 from skein.llm.grouped_split import SHARES, grouped_split, pick
 from skein.llm.packing import Plan, pack, pieces, token_counts
 
@@ -124,26 +124,72 @@ def claude(spark):
 WANT = {"good": None, "headless": "headless", "unanswered": "unanswered", "twice": "unanswered", "lost": "broken", "blank": "empty", "title": "empty"}
 
 
-@pytest.mark.parametrize("several", [False, True])
-def test_conversations(spark, tmp_path, several):
-    src = f"file://{tmp_path}/in"
-    claude(spark).repartition(6 if several else 1, "rec_id").write.parquet(src)
-    reader = spark.readStream.schema("rec_id bigint, ingested_at timestamp_ntz, record string")
-    if several:
-        # Batches of one file: everything out of order arrives late, with closing in between.
-        reader = reader.option("maxFilesPerTrigger", 1)
-    units = run_stream(spark, P5.claude_messages(reader.parquet(src)).drop("text"), batches_of_files=several, n_shards=5, delay="1 second", timeout_ms=1 if several else 1000)
+@pytest.mark.parametrize("batches", [1, 4])
+def test_conversations(spark, batches):
+    # With four pieces and short timeouts everything out of order arrives late, with closing in between.
+    units = replay(P5.claude_messages(claude(spark)).drop("text"), batches=batches, delay="1 second", timeout_ms=1)
     got = {r["session_id"]: r["reason"] for r in verdicts(units).collect()}
     assert got == WANT
 
 
-def test_turns_in_order(spark, tmp_path):
-    src = f"file://{tmp_path}/in"
-    claude(spark).write.parquet(src)
-    stream = spark.readStream.schema("rec_id bigint, ingested_at timestamp_ntz, record string").parquet(src)
-    told = verdicts(run_stream(spark, P5.claude_messages(stream).drop("text"), n_shards=3))
+def messages(spark, *records):
+    return P5.claude_messages(spark.createDataFrame(list(records), "rec_id bigint, ingested_at timestamp_ntz, record string")).drop("text")
+
+
+def told(units, session):
+    r = verdicts(units).where(F.col("session_id") == session).first()
+    return r["n_turns"], r["n_stray"], r["reason"]
+
+
+def test_late_row_revises_a_closed_slice(spark):
+    feed = Feed(spark, delay="1 second", timeout_ms=60_000)
+    feed.send(messages(spark, record(1, "s", "user", 0), record(2, "s", "user", 10)))
+    assert feed.emitted().count() == 0
+    feed.send(messages(spark, record(900, "other", "user", 900)))
+    first = feed.emitted().collect()
+    assert [(r["session_id"], r["revision"], r["n"], r["broken"]) for r in first] == [("s", 1, 2, True)]
+    # Fifteen hours late, older than the watermark; and a copy, which changes nothing.
+    feed.send(messages(spark, record(3, "s", "assistant", 5), record(1, "s", "user", 0)))
+    feed.send(messages(spark, record(1, "s", "user", 0)))
+    assert sorted((r["revision"], r["n"], r["broken"]) for r in feed.emitted().collect()) == [(1, 2, True), (2, 3, False)]
+    feed.send(messages(spark, record(4, "s", "assistant", 11)))
+    units = feed.end()
+    assert told(units, "s") == (4, 0, None) and told(units, "other") == (1, 0, "unanswered")
+
+
+def test_row_after_the_state_is_gone(spark):
+    feed = Feed(spark, delay="1 second", timeout_ms=60_000, retain_ms=60_000)
+    feed.send(messages(spark, record(1, "s", "user", 0), record(2, "s", "assistant", 1)))
+    feed.send(messages(spark, record(600, "other", "user", 600)))
+    feed.send(messages(spark, record(900, "other", "assistant", 900)))
+    feed.send(messages(spark, record(3, "s", "user", 2), record(4, "s", "assistant", 3)))
+    units = feed.end()
+    assert sorted((r["kind"], r["n"]) for r in units.where("session_id = 's'").collect()) == [("slice", 2), ("stray", 2)]
+    assert told(units, "s") == (2, 2, None)
+
+
+def test_wrong_clock_closes_nothing(spark):
+    i, arrived, text = record(2, "wrong", "user", 0)
+    future = text.replace("2025-01-01T00:00:00", "2099-01-01T00:00:00")
+    feed = Feed(spark, delay="1 second", timeout_ms=600_000)
+    feed.send(messages(spark, record(1, "s", "user", 0), (i, arrived, future)))
+    feed.send(messages(spark, record(3, "s", "assistant", 1)))
+    assert feed.emitted().count() == 0
+    assert told(feed.end(), "s") == (2, 0, None)
+
+
+def test_turns_without_time_and_empty_tables(spark):
+    rows = [("r", "s", f"u{i}", None, "user" if i % 2 == 0 else "assistant", None, i, T0) for i in range(20_000)] + [("r", None, "x", None, "user", 1, 1, T0)]
+    df = spark.createDataFrame(rows, "runtime string, session_id string, uid string, parent string, role string, ts bigint, seq bigint, arrived timestamp")
+    units = replay(df, batches=2)
+    assert told(units, "s") == (20_000, 0, None) and units.select("part").distinct().count() == 5
+    assert verdicts(replay(df.limit(0)), df.limit(1).select("runtime", "session_id")).select("reason").first()[0] == "empty"
+
+
+def test_turns_in_order(spark):
+    kept = verdicts(replay(P5.claude_messages(claude(spark)).drop("text"), batches=1))
     turns = P5.claude_messages(claude(spark)).where("role IS NOT NULL")
-    out = ordered_turns(turns, told).orderBy("turn_no").collect()
+    out = ordered_turns(turns, kept).orderBy("turn_no").collect()
     assert [(r["session_id"], r["turn_no"], r["role"]) for r in out] == [("good", 0, "user"), ("good", 1, "assistant"), ("good", 2, "user"), ("good", 3, "assistant")]
 
 
