@@ -5,6 +5,9 @@ characters), one blank between two. A passage of at least `length` characters wi
 at least length + 1 - q * (edits + 1) q-grams with its item (the q-gram lemma), all within a band of diagonals. Counting comes in
 three steps of growing cost: stretches of a document with that many q-grams of any item, then (item, band) pairs with
 that many, then a banded local alignment of what is left.
+
+Short words leave passages of fewer characters, for which the lemma asks of shorter q-grams: such items are indexed apart, and
+each item's own shortest passage is its bound, so that no item changes what another one finds.
 """
 
 from __future__ import annotations
@@ -12,22 +15,26 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, EDITS, Q = 12, 2, 12
-#: Bytes of item text indexed at a time; more items are searched in blocks of this size, each in a pass of its own.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text indexed at a time; more items are searched in blocks of this size, each in a pass of its own. An index
+#: takes about 25 bytes a byte of text, and three times as much while it is built, once in a Python process.
+BLOCK_BYTES = 8 << 20
 #: Characters reduced and searched together; more make the alignments wider and take more memory (about 60 bytes each).
 SLICE = 3 << 20
 _LAST_LETTER = 0x32400
 _GAP, _DROP, _MANY = 0, 255, 254
 _PENALTY = 2
+LEAST_Q = 4
 
 
 def _folded(ch: str) -> str:
@@ -135,45 +142,60 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return (word[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F) + (second >> np.uint64(29)))
 
 
+def window_marks(w: list[str], n_words: int) -> np.ndarray:
+    """A 64-bit mark of each stretch of `n_words` words."""
+    return np.array([xxhash.xxh3_64_intdigest(" ".join(w[k : k + n_words])) for k in range(len(w) - n_words + 1)], np.uint64)
+
+
+def shortest_passage(w: list[str], n_words: int) -> int:
+    """Characters of the shortest stretch of `n_words` words, nothing where there are fewer words."""
+    if len(w) < n_words:
+        return 0
+    ends = np.cumsum([len(x) for x in w])
+    return int((ends[n_words - 1 :] - np.concatenate([[0], ends[:-n_words]])).min()) + n_words - 1
+
+
 class ItemIndex:
-    """The q-grams of a block of items, and what the lemma asks of a stretch."""
+    """The q-grams of items whose passages are long enough for q, and what the lemma asks of a stretch."""
 
     BITS = 22
 
-    def __init__(self, ids: list[int], texts: list[str], n_words: int = WORDS, edits: int = EDITS, q: int = Q):
-        self.ids, self.n_words = ids, n_words
-        self.words = [words(t) for t in texts]
-        spans = [len(" ".join(w[k : k + n_words])) for w in self.words for k in range(len(w) - n_words + 1)]
-        self.length = min(spans, default=0)
-        # Short words leave fewer characters: q and then the edits shrink until the lemma asks for a q-gram at least.
-        self.edits, self.q = edits, min(q, 16)
-        while self.q > 4 and self.length + 1 - self.q * (self.edits + 1) < 1:
-            self.q -= 1
-        while self.edits and self.length + 1 - self.q * (self.edits + 1) < 1:
-            self.edits -= 1
-        self.least = max(1, self.length + 1 - self.q * (self.edits + 1))
+    def __init__(self, ids: list[int], texts: list[str], lengths: list[int], n_words: int, edits: int, q: int):
+        self.ids, self.texts, self.n_words = ids, texts, n_words
+        self.lengths = np.array(lengths, np.int64)
+        self.length = min(lengths)
+        self.edits, self.q = edits, q
+        self.least = self.length + 1 - q * (edits + 1)
+        if self.least < 1:
+            raise ValueError(f"passages of {self.length} characters with {edits} edits leave no {q}-gram")
         self.band = self.edits + 1
-        self.data, self.starts = reduce_texts(texts, self.q + 4 * self.band + 4)
+        self.margin = (edits + 1) * (q + 1) + 4 * self.band
+        self.data, self.starts = reduce_texts(texts, self.margin)
         marks = grams(self.data, self.q)
-        clean = np.concatenate([[0], np.cumsum(self.data == 253)])
-        ok = clean[self.q :][: len(marks)] == clean[: len(marks)]
-        at = np.flatnonzero(ok)
-        order = np.argsort(marks[at], kind="stable")
-        self.marks, self.at = marks[at][order], at[order]
-        self.unique, self.first, self.count = np.unique(self.marks, return_index=True, return_counts=True)
+        clean = np.concatenate([[0], np.cumsum(self.data == 253, dtype=np.int32)])
+        at = np.flatnonzero(clean[self.q :][: len(marks)] == clean[: len(marks)]).astype(np.int32)
+        del clean
+        marks = marks[at]
+        order = np.argsort(marks, kind="stable").astype(np.int32)
+        self.at, marks = at[order], marks[order]
+        self.unique, first, count = np.unique(marks, return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         self.bitmap = np.zeros(1 << self.BITS, bool)
         self.bitmap[self._slot(self.unique)] = True
-        self.windows = [{" ".join(w[k : k + n_words]) for k in range(len(w) - n_words + 1)} for w in self.words]
+        # The words of each item are kept as marks of its stretches, in sorted runs.
+        windows = [np.sort(window_marks(words(t), n_words)) for t in texts]
+        self.window_at = np.cumsum([0, *(len(x) for x in windows)])
+        self.windows = np.concatenate(windows)
+        self._last: tuple[str, list[str], np.ndarray] | None = None
 
     def _slot(self, marks: np.ndarray) -> np.ndarray:
         return ((marks * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text number, item number, alignment score) of every verified passage, the best one of each pair."""
-        if not self.length or not texts:
+        if not texts:
             return []
-        margin = self.q + 4 * self.band + 4
-        data, starts = reduce_texts(texts, margin)
+        data, starts = reduce_texts(texts, self.margin)
         marks = grams(data, self.q)
         hit = self.bitmap[self._slot(marks)]
         at = np.flatnonzero(hit)
@@ -252,17 +274,53 @@ class ItemIndex:
         head, last = head[by_length], last[by_length]
         for k in range(0, len(head), 512):
             h, z = head[k : k + 512], last[k : k + 512]
-            low, high = x[h], x[z] + self.q
-            shift = band[h] * self.band - len(self.data)  # the band holds diagonals shift to shift + 2 * band - 1
-            scores = align(data, self.data, low, high, shift, 2 * self.band)
-            passed = scores >= self.length - self.edits * (1 + _PENALTY)
+            # Edits near an end leave up to q - 1 characters each without a q-gram beyond the outermost hits.
+            reach = self.edits * (self.q + 1)
+            low, high = x[h] - reach, x[z] + self.q + reach
+            # The band holds diagonals shift to shift + 2 * band - 1; edits beyond the hits may lead above it.
+            shift = band[h] * self.band - len(self.data)
+            scores = align(data, self.data, low, high, shift, 2 * self.band + self.edits)
+            passed = scores >= self.lengths[i[h]] - self.edits * (1 + _PENALTY)
             yield from zip(t[h][passed].tolist(), i[h][passed].tolist(), scores[passed].tolist())
 
     def exact(self, text: str, item: int) -> bool:
-        """Whether the text holds `n_words` consecutive words of the item."""
-        w = words(text)
-        mine, n = self.windows[item], self.n_words
-        return any(" ".join(w[k : k + n]) in mine for k in range(len(w) - n + 1))
+        """Whether the text holds `n_words` consecutive words of the item: equal marks, then the words themselves."""
+        if self._last is None or self._last[0] is not text:
+            w = words(text)
+            self._last = text, w, window_marks(w, self.n_words)
+        _, w, marks = self._last
+        mine, n = self.windows[self.window_at[item] : self.window_at[item + 1]], self.n_words
+        if not len(mine) or not len(marks):
+            return False
+        hit = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, marks), len(mine) - 1)] == marks)
+        if not len(hit):
+            return False
+        whole = f" {' '.join(words(self.texts[item]))} "
+        return any(f" {' '.join(w[k : k + n])} " in whole for k in hit.tolist())
+
+
+def build_indexes(ids: list[int], texts: list[str], n_words: int = WORDS, edits: int = EDITS, q: int = Q) -> list[ItemIndex]:
+    """The items by the longest q up to `q` that their shortest passages allow, halved until it does."""
+    groups: dict[int, list[int]] = {}
+    lengths = [shortest_passage(words(t), n_words) for t in texts]
+    for k, length in enumerate(lengths):
+        if length:
+            fit = q
+            while fit > LEAST_Q and length + 1 - fit * (edits + 1) < 1:
+                fit = max(LEAST_Q, fit * 7 // 12)
+            groups.setdefault(fit, []).append(k)
+    return [ItemIndex([ids[k] for k in g], [texts[k] for k in g], [lengths[k] for k in g], n_words, edits, fit) for fit, g in sorted(groups.items())]
+
+
+_BUILT: dict[str, list[ItemIndex]] = {}
+
+
+def _indexes(name: str, packed, *settings) -> list[ItemIndex]:
+    """The indexes of a block, built once in a process; those of the block before are given up."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build_indexes(*packed.value, *settings)
+    return _BUILT[name]
 
 
 def align(text: np.ndarray, item: np.ndarray, low, high, shift, width: int) -> np.ndarray:
@@ -314,9 +372,10 @@ def leaks(documents: DataFrame, items: DataFrame, n_words: int = WORDS, edits: i
     out = None
     for block in item_blocks(items, block_bytes):
         packed = spark.sparkContext.broadcast(([r["item_id"] for r in block], [r["text"] for r in block]))
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*packed.value, n_words, edits)
+        def run(batches: Iterator[pa.RecordBatch], packed=packed, name=name) -> Iterator[pa.RecordBatch]:
+            indexes = _indexes(name, packed, n_words, edits)
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 rows = []
@@ -330,8 +389,9 @@ def leaks(documents: DataFrame, items: DataFrame, n_words: int = WORDS, edits: i
                             size += len(texts[group[end]])
                             end += 1
                         part = group[at:end]
-                        for t, i, score in index.search([texts[k] for k in part]):
-                            rows.append((ids[part[t]], index.ids[i], score, index.exact(texts[part[t]], i)))
+                        for index in indexes:
+                            for t, i, score in index.search([texts[k] for k in part]):
+                                rows.append((ids[part[t]], index.ids[i], score, index.exact(texts[part[t]], i)))
                         at = end
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "exact"]).astype({"doc_id": "int64", "item_id": "int64", "score": "int64", "exact": "bool"}), preserve_index=False)
 

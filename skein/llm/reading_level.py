@@ -2,8 +2,8 @@
 
 Letters, words, sentences and syllables are counted over whole batches of code points. Prose is what lies outside
 ``` fences on lines that don't start with '#'; words are runs of letters; a sentence ends at '.', '!' or '?' before
-white space and at the end of a line. Syllables are vowel groups, corrected by rules of the kind used for
-hyphenation (silent endings, vowel pairs that part), by language.
+white space and at the end of a line. Syllables come from hyphenation rules by language (`skein.llm.syllables`), applied to
+the distinct words of a batch. Each language has its own published formulas and constants.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.syllables import syllables
+
 LETTER, SPACE, STOP = 1, 2, 4
 _LAST_LETTER = 0x32400
 #: Rows and code points worked on at a time, for memory only.
@@ -29,24 +31,9 @@ FUNCTION_WORDS = {
     "fr": "le la les des est et une un du dans que qui pour pas sur au par plus ne ce se il elle aux",
     "es": "el los las del que en y es una un por con no se para al lo como su más o la de",
 }
-# Vowels of each language, and the pairs that part into two syllables.
-VOWELS = {
-    "en": "aeiouyàáâäèéêëìíîïòóôöùúûü",
-    "de": "aeiouyäöüàéèê",
-    "fr": "aeiouyàâäèéêëîïôöùûüœæ",
-    "es": "aeiouáéíóúü",
-}
-PARTING = {
-    "en": "ia io ua eo iu uo ya yo",
-    "de": "ia io ie-r eo ea ua",
-    "fr": "éo éa ao éi aé oé ué ié",
-    "es": "ae ao ea eo oa oe ía íe ío úa úe aí aú eí oí ée éa éo óa óe áe áo eó eá oá oé",
-}
-# Letter pairs inside which an English vowel pair stays one syllable (nation, special).
-JOINED_AFTER = {"en": "t c s g x", "de": "", "fr": "", "es": ""}
 LANGUAGES = tuple(FUNCTION_WORDS)
 
-MEASURES = "n_letters bigint, n_words bigint, n_sentences bigint, n_syllables bigint, n_long bigint, n_hard bigint, language string"
+MEASURES = "n_letters bigint, n_words bigint, n_sentences bigint, n_syllables bigint, n_long bigint, n_hard bigint, n_single bigint, language string"
 
 
 class _Tables:
@@ -84,6 +71,9 @@ _SHORT = 5
 _MARKS = {k: np.array(sorted(_mark(w) for w in v.split() if len(w) <= _SHORT), np.int64) for k, v in FUNCTION_WORDS.items()}
 
 
+_POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+
 def _sum(values: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
     """Sums of `values` by document number `at`."""
     return np.bincount(at, weights=values, minlength=total).astype(np.int64)
@@ -140,9 +130,10 @@ class Prose:
         self.n_long = np.bincount(doc[width > 6], minlength=n)
         low = _Tables.lower[points if points.dtype == np.uint8 else np.minimum(points, _LAST_LETTER - 1)]
         self.language = self._tell(low, starts, width, doc, n)
-        syllables = self._syllables(low, letter, starts, ends, width, doc)
-        self.n_syllables = _sum(syllables, doc, n)
-        self.n_hard = np.bincount(doc[syllables >= 3], minlength=n)
+        counted = self._syllables(low, starts, width, self.language[doc])
+        self.n_syllables = _sum(counted, doc, n)
+        self.n_hard = np.bincount(doc[counted >= 3], minlength=n)
+        self.n_single = np.bincount(doc[counted == 1], minlength=n)
 
     @staticmethod
     def _tell(low, starts, width, doc, n) -> np.ndarray:
@@ -160,56 +151,26 @@ class Prose:
             votes.append(np.bincount(doc[short[marks[at] == h]], minlength=n))
         return np.argmax(np.stack(votes), axis=0)
 
-    def _syllables(self, low, letter, starts, ends, width, doc) -> np.ndarray:
-        out = np.ones(len(starts), np.int64)
-        for k, name in enumerate(LANGUAGES):
-            mine = np.flatnonzero(self.language[doc] == k)
-            if not len(mine):
-                continue
-            s, e, w = starts[mine], ends[mine], width[mine]
-            vowel = np.zeros(_LAST_LETTER, bool)
-            vowel[[ord(c) for c in VOWELS[name]]] = True
-            # Positions of these words' letters, end to end.
-            first = np.cumsum(w) - w
-            at = np.repeat(s - first, w) + np.arange(int(w.sum()))
-            c = low[at]
-            v = vowel[c]
-            head = np.zeros(len(at), bool)
-            head[first] = True
-            prev_v = np.concatenate([[False], v[:-1]]) & ~head
-            group = v & ~prev_v
-            count = np.add.reduceat(group.astype(np.int64), first)
-            # Pairs that part: both vowels, in one group, of the language's list.
-            pair = v & prev_v
-            p = np.flatnonzero(pair)
-            code = c[p - 1].astype(np.int64) << 20 | c[p]
-            parting = np.array(sorted(ord(x[0]) << 20 | ord(x[1]) for x in PARTING[name].split()), np.int64)
-            i = np.minimum(np.searchsorted(parting, code), len(parting) - 1)
-            p = p[parting[i] == code]
-            if JOINED_AFTER[name]:
-                q = p[p >= 2]
-                joined = np.isin(c[q - 2], [ord(x) for x in JOINED_AFTER[name].split()]) & ~head[q - 1]
-                p = np.concatenate([p[p < 2], q[~joined]])
-            word = np.searchsorted(first, p, side="right") - 1
-            np.add.at(count, word, 1)
-            tail, before = low[e].astype(np.int64), low[np.maximum(e - 1, s)].astype(np.int64)
-            third = low[np.maximum(e - 2, s)].astype(np.int64)
-            if name == "en":
-                silent = (tail == 101) & (w > 2) & ~vowel[before] & ~((before == 108) & ~vowel[third])
-                past = (tail == 100) & (before == 101) & (w > 3) & ~vowel[third] & (third != 116) & (third != 100)
-                plural = (tail == 115) & (before == 101) & (w > 3) & ~vowel[third] & ~np.isin(third, [ord(x) for x in "szxchgj"])
-                count -= silent | past | plural
-                count += (tail == 97) & (before == 101) & (count > 1)  # idea, area, but not tea
-            elif name == "fr":
-                silent = (tail == 101) & (w > 2) & ~vowel[before]
-                plural = (tail == 115) & (before == 101) & (w > 3) & ~vowel[third]
-                verbal = (tail == 116) & (before == 110) & (third == 101) & (w > 4)
-                count -= silent | plural | verbal
-            out[mine] = np.maximum(count, 1)
-        return out
+    @staticmethod
+    def _syllables(low, starts, width, language) -> np.ndarray:
+        """Syllables of each word: the distinct words, told by a 64-bit mark of letters and language, are looked up once."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        first = np.cumsum(width) - width
+        inside = np.arange(int(width.sum())) - np.repeat(first, width)
+        letters = low[np.repeat(starts, width) + inside].astype(np.uint64)
+        # A polynomial mark, place by place: words beyond the table of powers wrap around it.
+        marks = np.add.reduceat((letters + np.uint64(1)) * _POWERS[inside % len(_POWERS)], first)
+        marks = (marks + width.astype(np.uint64) * _POWERS[1]) * np.uint64(len(LANGUAGES)) + language.astype(np.uint64)
+        _, at, back = np.unique(marks, return_index=True, return_inverse=True)
+        told = np.empty(len(at), np.int64)
+        for k, i in enumerate(at.tolist()):
+            word = "".join(map(chr, low[starts[i] : starts[i] + width[i]].tolist()))
+            told[k] = syllables(word, LANGUAGES[language[i]])
+        return told[back]
 
     def columns(self) -> list[pa.Array]:
-        numbers = [self.n_letters, self.n_words, self.n_sentences, self.n_syllables, self.n_long, self.n_hard]
+        numbers = [self.n_letters, self.n_words, self.n_sentences, self.n_syllables, self.n_long, self.n_hard, self.n_single]
         return [*(pa.array(x, pa.int64()) for x in numbers), pa.array([LANGUAGES[k] for k in self.language], pa.string())]
 
 
@@ -235,28 +196,66 @@ def prose_counts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {MEASURES}")
 
 
-def _grades() -> list[Column]:
+# Reading ease by language, as (constant, words a sentence, syllables a word): Flesch for English, Amstad for
+# German, Kandel and Moles for French, Szigriszt-Pazos for Spanish.
+EASE = {"en": (206.835, 1.015, 84.6), "de": (180.0, 1.0, 58.5), "fr": (207.0, 1.015, 73.6), "es": (206.835, 1.0, 62.3)}
+# School grade of a reading ease (Flesch's table), and of long words a sentence (Anderson's RIX table).
+EASE_GRADES = ((90, 5), (80, 6), (70, 7), (60, 8.5), (50, 11), (30, 14.5), (0, 17))
+RIX_GRADES = ((0.2, 1), (0.5, 2), (0.8, 3), (1.3, 4), (1.8, 5), (2.4, 6), (3.0, 7), (3.7, 8), (4.5, 9), (5.3, 10), (6.2, 11), (7.2, 12))
+GRADES = ("ease_grade", "rix_grade", "flesch_kincaid", "fog", "smog", "coleman_liau", "automated", "wiener", "crawford")
+
+
+def _between(x: Column, points) -> Column:
+    """Straight lines through the (x, grade) points; the outer ones go on."""
+    pairs = list(zip(points, points[1:]))
+    out = None
+    for (x0, y0), (x1, y1) in pairs:
+        line = y0 + (x - x0) * ((y1 - y0) / (x1 - x0))
+        beyond = x <= x1 if x1 > x0 else x >= x1
+        out = F.when(beyond, line) if out is None else out.when(beyond, line)
+    (x0, y0), (x1, y1) = pairs[-1]
+    return out.otherwise(y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
+
+
+def _grades() -> dict[str, Column]:
+    """Grade estimates by the formulas made for the text's language; null for those of other languages."""
     words, sentences = F.col("n_words").cast("double"), F.col("n_sentences").cast("double")
-    letters, syllables, hard = (F.col(c).cast("double") for c in ("n_letters", "n_syllables", "n_hard"))
-    flesch_kincaid = 0.39 * words / sentences + 11.8 * syllables / words - 15.59
-    fog = 0.4 * (words / sentences + 100 * hard / words)
+    letters, syllables, hard, long, single = (F.col(c).cast("double") for c in ("n_letters", "n_syllables", "n_hard", "n_long", "n_single"))
+    by = {k: F.col("language") == k for k in LANGUAGES}
+    ease = None
+    for k, (whole, sentence, syllable) in EASE.items():
+        value = F.lit(whole) - sentence * words / sentences - syllable * syllables / words
+        ease = F.when(by[k], value) if ease is None else ease.when(by[k], value)
     smog = 1.043 * F.sqrt(30 * hard / sentences) + 3.1291
-    coleman_liau = 5.88 * letters / words - 29.6 * sentences / words - 15.8
-    automated = 4.71 * letters / words + 0.5 * words / sentences - 21.43
-    return [x.alias(n) for x, n in ((flesch_kincaid, "flesch_kincaid"), (fog, "fog"), (smog, "smog"), (coleman_liau, "coleman_liau"), (automated, "automated"))]
+    return {
+        "ease": ease,
+        "ease_grade": _between(ease, EASE_GRADES),
+        "rix_grade": _between(long / sentences, RIX_GRADES),
+        "flesch_kincaid": F.when(by["en"], 0.39 * words / sentences + 11.8 * syllables / words - 15.59),
+        "fog": F.when(by["en"], 0.4 * (words / sentences + 100 * hard / words)),
+        # McLaughlin for English, Bamberger and Vanecek for German, Contreras and others for Spanish.
+        "smog": F.when(by["en"], smog).when(by["de"], F.sqrt(30 * hard / sentences) - 2).when(by["es"], 0.74 * smog - 2.51),
+        "coleman_liau": F.when(by["en"], 5.88 * letters / words - 29.6 * sentences / words - 15.8),
+        "automated": F.when(by["en"], 4.71 * letters / words + 0.5 * words / sentences - 21.43),
+        "wiener": F.when(by["de"], 0.1935 * 100 * hard / words + 0.1672 * words / sentences + 0.1297 * 100 * long / words - 0.0327 * 100 * single / words - 0.875),
+        "crawford": F.when(by["es"], -0.205 * 100 * sentences / words + 0.049 * 100 * syllables / words - 3.407),
+    }
 
 
 def reading_levels(documents: DataFrame) -> DataFrame:
-    """The counts with words_per_sentence, letters_per_word, the grade by each formula and `grade`, their median.
+    """The counts with words_per_sentence, letters_per_word, the reading ease, the grade by each formula of the text's language and
+    `grade`, their median (the mean of the middle two of an even number).
 
     Documents without prose words have null rates and grades.
     """
     counts = prose_counts(documents)
-    rates = [(F.col("n_words") / F.col("n_sentences")).alias("words_per_sentence"), (F.col("n_letters") / F.col("n_words")).alias("letters_per_word")]
     some = F.col("n_words") > 0
-    made = counts.select("*", *[F.when(some, c).alias(n) for c, n in zip([*rates, *_grades()], ["words_per_sentence", "letters_per_word", "flesch_kincaid", "fog", "smog", "coleman_liau", "automated"])])
-    grades = F.array_sort(F.array("flesch_kincaid", "fog", "smog", "coleman_liau", "automated"))
-    return made.withColumn("grade", F.when(some, F.element_at(grades, 3)))
+    rates = {"words_per_sentence": F.col("n_words") / F.col("n_sentences"), "letters_per_word": F.col("n_letters") / F.col("n_words")}
+    made = counts.withColumns({n: F.when(some, c) for n, c in (rates | _grades()).items()})
+    grades = F.array_sort(F.array_compact(F.array(*GRADES)))
+    n = F.size(grades)
+    low, high = F.call_function("div", n + 1, F.lit(2)).cast("int"), (F.call_function("div", n, F.lit(2)) + 1).cast("int")
+    return made.withColumn("grade", F.when(some, (F.element_at(grades, low) + F.element_at(grades, high)) / 2))
 
 
 #: Labelled rows at most that the cut points are fitted on, chosen by a hash of doc_id.

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.llm import leakage, reading_level
+from skein.llm.syllables import syllables
 from skein.llm.split_text import LINE, NONE, PARAGRAPH, SENTENCE, WORD, SparseTable, cuts, split_texts, strengths
 
 # ---- splitting
@@ -118,10 +119,51 @@ def test_leaks_against_brute_force(spark, seed):
 
 def test_passages_with_edits():
     item = "the quick brown foxes jumped over seventeen lazy dogs while the farmer slept beneath an old tree"
-    index = leakage.ItemIndex([7], [item])
+    (index,) = leakage.build_indexes([7], [item])
     assert index.edits == 2 and index.search(["noise " * 50 + item.replace("brown", "brawn") + " noise"])
     assert not index.search(["totally different text about nothing at all " * 20])
-    assert leakage.ItemIndex([], []).search(["x"]) == [] and leakage.ItemIndex([1], ["too short"]).search(["too short"]) == []
+    assert leakage.build_indexes([], []) == leakage.build_indexes([1], ["too short"]) == []
+    # An item of short words gets an index of its own and changes nothing for the others.
+    short = "a b c d e f g h i j k l"
+    both = leakage.build_indexes([7, 8], [item, short])
+    assert sorted(x.q for x in both) == [7, 12] and [x for x in both if x.q == 12][0].length == index.length
+    assert [x for x in both if x.q == 7][0].search([f"z {short} z"])
+    with pytest.raises(ValueError):
+        leakage.build_indexes([8], [short], edits=9)
+
+
+def edited(r, words, edits):
+    text = list(" ".join(words))
+    for at in r.sample(range(1, len(text) - 1), edits):
+        kind = r.randrange(3)
+        text[at] = "" if kind == 0 else r.choice("qxz") if kind == 1 else text[at] + r.choice("qxz")
+    return "".join(text)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_recall_of_edited_passages(edits):
+    """Every passage of twelve words with at most two edits of characters is found: the lemma loses none."""
+    r = random.Random(edits)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 10))) for _ in range(2000)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(40)]
+    (index,) = leakage.build_indexes(list(range(40)), items)
+    texts, want = [], set()
+    for d in range(200):
+        i = r.randrange(40)
+        w = items[i].split()
+        k = r.randrange(len(w) - 12)
+        noise = [r.choice(vocabulary) for _ in range(80)]
+        texts.append(" ".join([*noise[:40], edited(r, w[k : k + 12], edits), *noise[40:]]))
+        want.add((d, i))
+    assert want <= {(t, i) for t, i, _ in index.search(texts)}
+
+
+def test_index_is_compact():
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(500)) for _ in range(100)]
+    (index,) = leakage.build_indexes(list(range(100)), texts)
+    held = sum(x.nbytes for x in vars(index).values() if hasattr(x, "nbytes")) - index.bitmap.nbytes
+    assert held < 30 * sum(map(len, texts))
 
 
 def test_reduction_agrees_with_words():
@@ -176,10 +218,29 @@ def test_counts_of_code_and_headings():
     assert p.n_words.tolist() == [6, 0] and p.n_sentences.tolist() == [3, 0]
 
 
-@pytest.mark.parametrize(("word", "n"), [("the", 1), ("table", 2), ("make", 1), ("reading", 2), ("nation", 2), ("idea", 3), ("area", 3), ("walked", 1), ("wanted", 2), ("houses", 2), ("orchestration", 4)])
-def test_english_syllables(word, n):
-    p = reading_level.Prose([f"of the and is that it {word}"])
-    assert int(p.n_syllables[0]) - int(reading_level.Prose(["of the and is that it"]).n_syllables[0]) == n
+SYLLABLES = {
+    "en": "the1 table2 make1 reading2 nation2 idea3 area3 walked1 wanted2 houses2 orchestration4 special2 religion3 queen1 quiet2 people2 create2 being2 science2 video3 radio3 little2 statement2 completely3 serious3 society4 experience4 queue1 values2",
+    "de": "die1 viel1 liebe2 spiel1 haus1 häuser2 familie3 familien4 linien3 wien1 museum3 idee2 ideen3 nation3 studien3 finanziell4 patient3 verdient2 beurteilen4 feuer2 freie2 quelle2 ruine3 boot1 staat1 theorie3 heroisch3 informationen6 situation5",
+    "fr": "le1 table1 nation2 maison2 beaucoup2 bateau2 parlent1 parle1 qui1 quelque1 oublier3 prier2 lumière2 théâtre2 réaliste3 social2 nuit1 nuage2 oui1 lieu1 pied1 poète2 moment2 souvent2 langue1 guerre1",
+    "es": "el1 casa2 bueno2 ciudad2 nación2 día2 país2 poeta3 leer2 que1 guerra2 pingüino3 río2 aéreo4 caos2 también2 estudiáis3 agua2 teoría4 idea3 oeste3 ahora3",
+}
+
+
+@pytest.mark.parametrize(("language", "word"), [(k, w) for k, v in SYLLABLES.items() for w in v.split()])
+def test_syllables(language, word):
+    assert syllables(word[:-1], language) == int(word[-1])
+
+
+def test_syllables_in_texts():
+    lead = {"en": "of the and is that it", "de": "der und ist nicht ein das", "fr": "le les des est et une", "es": "el los las del que y"}
+    for language, text in SYLLABLES.items():
+        words = [w[:-1] for w in text.split()]
+        whole = f"{lead[language]} {lead[language]} {' '.join(words)}"
+        p = reading_level.Prose([whole, "", f"{lead[language]} {lead[language]} {words[0].upper()}"])
+        assert [reading_level.LANGUAGES[k] for k in p.language[[0, 2]]] == [language] * 2
+        counts = [syllables(w, language) for w in whole.split()]
+        assert int(p.n_syllables[0]) == sum(counts) and int(p.n_hard[0]) == sum(c > 2 for c in counts) and int(p.n_single[0]) == sum(c == 1 for c in counts)
+        assert int(p.n_syllables[1]) == 0
 
 
 def test_levels(spark):
