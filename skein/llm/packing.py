@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.components import ranked_within
+from skein.llm.grouped_split import ranked_within
 from skein.session import materialize
 
 CAPACITY = 2048

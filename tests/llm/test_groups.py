@@ -1,6 +1,8 @@
 import datetime as D
+import itertools
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import p5_conversations as P5
 from skein.llm.conversations import Feed, ordered_turns, replay, verdicts
-from skein.llm.grouped_split import SHARES, grouped_split, pick
+from skein.llm.grouped_split import SHARES, grouped_split, pick, plan_split, ranked_within
 from skein.llm.packing import Plan, pack, pieces, token_counts
 
 # ---- splits
@@ -42,6 +44,53 @@ def test_split_keeps_groups(spark):
     assert grouped_split(spark.createDataFrame([], "item string, tie string")).count() == 0
 
 
+def test_split_of_many_groups_in_bounded_memory():
+    """Twelve million items in groups of heavy-tailed sizes, one of a third of all: the totals are met with small bitsets."""
+    r, sizes, total = random.Random(1), {}, 0
+    while total < 12_000_000:
+        s = min(4_000_000, int(r.paretovariate(0.9)))
+        sizes[s] = sizes.get(s, 0) + 1
+        total += s
+    tracemalloc.start()
+    plan = plan_split(sizes, SHARES)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert all(sum(c for _, c in plan[s]) == sizes[s] for s in sizes)
+    got = {k: sum(s * c for s, p in plan.items() for n, c in p if n == k) for k in SHARES}
+    assert all(abs(got[k] - SHARES[k] * total) <= 2 for k in SHARES), got
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_splits_are_close_together(seed):
+    r = random.Random(seed)
+    flat = [r.randint(1, 12) for _ in range(r.randint(1, 7))]
+    sizes = {s: flat.count(s) for s in flat}
+    total = sum(flat)
+    targets = {k: round(v * total) for k, v in SHARES.items()}
+
+    def off(made):
+        return sum(abs(made[k] - targets[k]) for k in ("validation", "test"))
+
+    best = min(off({k: sum(s for s, at in zip(flat, where) if at == k) for k in SHARES}) for where in itertools.product(SHARES, repeat=len(flat)))
+    plan = plan_split(sizes, SHARES)
+    assert off({k: sum(s * c for s, p in plan.items() for n, c in p if n == k) for k in SHARES}) == best
+
+
+def test_large_groups_are_placed_before_the_bitsets():
+    sizes = {1000: 50, 7: 400, 1: 300}
+    plan = plan_split(sizes, SHARES, max_bits=2000)
+    got = {k: sum(s * c for s, p in plan.items() for n, c in p if n == k) for k in SHARES}
+    total = sum(s * c for s, c in sizes.items())
+    assert all(abs(got[k] - SHARES[k] * total) <= 1 for k in SHARES), got
+
+
+def test_rank_in_hot_key(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 400, "hot").when(F.col("id") < 450, F.lit(None)).otherwise("b").alias("k"), F.concat(F.lit("x"), "id").alias("name"), F.lit(1).alias("_key"))
+    out = ranked_within(df, "k", "name", rows_a_bucket=70).collect()
+    for k, n in (("hot", 400), (None, 50), ("b", 50)):
+        assert sorted(r["rank_no"] for r in out if r["k"] == k) == list(range(n))
+
+
 # ---- packing
 
 
@@ -182,7 +231,7 @@ def test_turns_without_time_and_empty_tables(spark):
     rows = [("r", "s", f"u{i}", None, "user" if i % 2 == 0 else "assistant", None, i, T0) for i in range(20_000)] + [("r", None, "x", None, "user", 1, 1, T0)]
     df = spark.createDataFrame(rows, "runtime string, session_id string, uid string, parent string, role string, ts bigint, seq bigint, arrived timestamp")
     units = replay(df, batches=2)
-    assert told(units, "s") == (20_000, 0, None) and units.select("part").distinct().count() == 5
+    assert told(units, "s") == (20_000, 0, None) and units.where("session_id = 's'").select("part").distinct().count() == 5
     assert verdicts(replay(df.limit(0)), df.limit(1).select("runtime", "session_id")).select("reason").first()[0] == "empty"
 
 
