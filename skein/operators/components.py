@@ -2,62 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skein.session import materialize
+from skein.session import drop_table, materialize
 
-SALTS = 16
+#: A tie gets a salt for each so many of its items, so that no task joins more of one.
+ITEMS_A_SALT = 1 << 16
+#: Times a round replaces each parent by its parent's parent: a hooked chain shrinks by four to this power.
+JUMPS = 2
 
 
 def _least_of_tie(edges: DataFrame) -> DataFrame:
-    """edges(item, tie) with `low`, the smallest item of the tie. A tie of a third of all rows is spread over SALTS."""
-    low = edges.groupBy("tie").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").drop("high")
-    wide = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-    return salted.join(wide, ["tie", "_salt"]).drop("_salt")
+    """edges(item, tie) with `low`, the smallest item of the tie. A tie of a third of all rows is spread over salts."""
+    low = edges.groupBy("tie").agg(F.min("item").alias("low"), F.max("item").alias("high"), F.count(F.lit(1)).alias("_n")).where("low < high")
+    low = low.withColumn("_salts", F.call_function("div", F.col("_n"), F.lit(ITEMS_A_SALT)) + 1)
+    wide = low.select("tie", "low", "_salts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)).alias("_salt"))
+    # How many salts a tie has is the same at every one of them; hot ties alone have more than one.
+    hot = F.broadcast(low.where("_salts > 1").select("tie", F.col("_salts").alias("_hot")))
+    salted = edges.join(hot, "tie", "left").withColumn("_salt", F.pmod(F.xxhash64("item"), F.coalesce("_hot", F.lit(1).cast("bigint"))))
+    return salted.join(wide, ["tie", "_salt"]).select("item", "tie", "low")
+
+
+def _jumped(parents: DataFrame) -> DataFrame:
+    up = parents.select(F.col("item").alias("parent"), F.col("parent").alias("_next"))
+    return parents.join(up, "parent", "left").select("item", F.coalesce("_next", "parent").alias("parent"))
 
 
 def components(members: DataFrame) -> DataFrame:
     """(item, component) of members(item, tie): items that share a tie, directly or through others, are one component,
     named by its smallest item. Rows with a null item are left out; a null tie ties nothing.
 
-    A round hooks every current root onto the smallest root among its ties, shortcuts the parent table by doubling
-    until it is flat, and carries the ties over to the roots, where ties of a single root disappear. Parents are
-    smaller than their children, so there are no circles; the table of ties shrinks with every round.
+    A round hooks every item onto the smallest item among its ties, shortcuts the parent table by doubling, and carries
+    the ties over to the parents, where ties of a single item disappear. A parent needn't be a root yet: it keeps the ties
+    that hooked it, and is hooked again in the next round. Parents are smaller than their children, so there are no
+    circles; the table of ties shrinks with every round. A round writes its parents and its ties, and nothing else
+    runs; it is the last when no item hooks.
     """
     items = members.where(F.col("item").isNotNull()).select("item").distinct()
     edges = materialize(members.where(F.col("item").isNotNull() & F.col("tie").isNotNull()).select("item", "tie").distinct(), "ties")
     maps: list[DataFrame] = []
     while True:
-        hooked = _least_of_tie(edges).groupBy("item").agg(F.min("low").alias("parent"))
-        parents = materialize(hooked.where("parent < item"), "parents")
-        if parents.isEmpty():
+        hooked = _least_of_tie(edges).groupBy("item").agg(F.min("low").alias("parent")).where("parent < item")
+        told = Observation()
+        parents = materialize(hooked.observe(told, F.count(F.lit(1)).alias("n")), "parents")
+        if not told.get["n"]:
             break
-        while True:  # shortcut: parent of parent, until no parent has one
-            up = parents.select(F.col("item").alias("parent"), F.col("parent").alias("_next"))
-            jumped = materialize(parents.join(up, "parent", "left").select("item", F.coalesce("_next", "parent").alias("parent"), F.col("_next").isNotNull().alias("_moved")), "parents")
-            parents = jumped.drop("_moved")
-            if jumped.where("_moved").isEmpty():
-                break
-        maps.append(parents)
-        edges = materialize(edges.join(parents, "item", "left").select(F.coalesce("parent", "item").alias("item"), "tie").distinct(), "ties")
+        flat = parents
+        for _ in range(JUMPS):
+            flat = _jumped(flat)
+        flat = materialize(flat, "parents")
+        drop_table(parents)
+        maps.append(flat)
+        after = materialize(edges.join(flat, "item", "left").select(F.coalesce("parent", "item").alias("item"), "tie").distinct(), "ties")
+        drop_table(edges)
+        edges = after
     out = items.withColumn("component", F.col("item"))
     for parents in maps:
         out = out.join(parents.select(F.col("item").alias("component"), F.col("parent").alias("_up")), "component", "left").select("item", F.coalesce("_up", "component").alias("component"))
     return out
-
-
-def ranked_within(df: DataFrame, key: str, by: str, name: str = "rank_no", buckets: int = 4096) -> DataFrame:
-    """`df` with a dense number from 0 within `key`, in the order of a hash of `by` (unique within the key), then `by`.
-
-    A key of a third of all rows is no single task's work: rows are numbered inside hash buckets, and the sizes of
-    the buckets before (at most `buckets` rows a key) are added.
-    """
-    df = materialize(df.withColumn("_rank_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")), "ranks")
-    sizes = df.groupBy(F.col(key).alias("_rank_key"), F.col("_rank_bucket").alias("_rank_at")).agg(F.count(F.lit(1)).alias("_rank_n"))
-    earlier = Window.partitionBy("_rank_key").orderBy("_rank_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(earlier), F.lit(0))).drop("_rank_n")
-    inside = F.row_number().over(Window.partitionBy(key, "_rank_bucket").orderBy(F.xxhash64(by), by)) - 1
-    joined = df.withColumn("_rank_in", inside).join(starts, F.col(key).eqNullSafe(F.col("_rank_key")) & (F.col("_rank_bucket") == F.col("_rank_at")))
-    return joined.withColumn(name, (F.col("_rank_before") + F.col("_rank_in")).cast("bigint")).drop("_rank_key", "_rank_before", "_rank_in", "_rank_bucket", "_rank_at")
