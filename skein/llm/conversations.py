@@ -17,11 +17,13 @@ Slices still open when a finite input ends are read from the state store and sum
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ NO_TIME, SEQ_SLICE = 1 << 52, 4096
 AHEAD_MS = 24 * 3600 * 1000
 #: Micro-batches in which `replay` sends a table that is there already.
 BATCHES = 3
-FACTS = "runtime string, session_id string, part bigint, uid string, parent string, role string, ts bigint, seq bigint, clock_ms bigint"
+#: A unit is one session's slice, its name the JSON list of runtime, session and slice; a fact the JSON list of uid, parent, role, ts,
+#: seq and clock. Spark hands every unit to Python as columns of its own, which costs more than reading a few lists.
+FACTS = "unit string, fact string, clock_ms bigint"
+STATE = "held string, open boolean"
 EMITTED = "kind string, runtime string, session_id string, part bigint, revision bigint, n bigint, first_role string, last_role string, broken boolean, lost array<string>, own array<string>"
-STATE = "ids array<string>, roles array<string>, times array<bigint>, seqs array<bigint>, parents array<string>, last_ms bigint, revision bigint, open boolean, gone boolean"
-_COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
-_OUT = [c.split()[0] for c in EMITTED.split(", ")]
+_TICK = "tick"
+_FIELDS = [c.split()[0] for c in EMITTED.split(", ")]
 _KEY = ["runtime", "session_id", "part"]
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -62,21 +66,22 @@ def facts_of(messages: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     own = F.coalesce("uid", F.concat(F.lit("\u0001"), F.col("seq").cast("string")))
     arrived = F.unix_millis(F.coalesce("arrived", F.current_timestamp()))
     clock = F.when(F.col("ts").between(0, arrived + AHEAD_MS), F.col("ts")).otherwise(F.unix_millis("arrived"))
-    return held.select("runtime", "session_id", _part(F.col("ts"), F.col("seq"), slice_ms).alias("part"), own.alias("uid"), "parent", "role", F.coalesce("ts", F.lit(NO_TIME)).alias("ts"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), clock.alias("clock_ms"))
+    unit = F.to_json(F.array("runtime", "session_id", _part(F.col("ts"), F.col("seq"), slice_ms).cast("string")))
+    texts = [own, "parent", "role", F.coalesce("ts", F.lit(NO_TIME)).cast("string"), F.coalesce("seq", F.lit(0)).cast("string"), clock.cast("string")]
+    return held.select(unit.alias("unit"), F.to_json(F.array(*texts)).alias("fact"), clock.alias("clock_ms"))
 
 
 def _with_ticks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The facts without event time, and after each batch a row without a session that carries the latest."""
-    schema = pa.schema([*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in FACTS.split(", ")), ("clock", pa.timestamp("us", "UTC"))])
+    """The facts without event time, and after each batch a row of no unit that carries the latest."""
+    schema = pa.schema([("unit", pa.string()), ("fact", pa.string()), ("clock", pa.timestamp("us", "UTC"))])
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c) for c in _COLUMNS]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, schema.field("clock").type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("fact"), pa.nulls(batch.num_rows, schema.field("clock").type)], schema=schema)
         last = pc.max(batch.column("clock_ms")).as_py()
         if last is not None:
-            tick = {c: [None] for c in _COLUMNS} | {"clock": [last * 1000]}
-            yield pa.RecordBatch.from_pydict(tick, schema=schema)
+            tick = f"{_TICK}{TaskContext.get().partitionId()}"
+            yield pa.RecordBatch.from_pydict({"unit": [tick], "fact": [None], "clock": [last * 1000]}, schema=schema)
 
 
 def summary(ids, roles, times, seqs, parents) -> tuple:
@@ -89,62 +94,75 @@ def summary(ids, roles, times, seqs, parents) -> tuple:
     return len(order), order[0] if order else None, order[-1] if order else None, broken, [p for p in parents if p not in held], [i for i in ids if not i.startswith("\u0001")]
 
 
-def merged(held: tuple, uids, parents, roles, times, seqs) -> tuple[tuple, bool]:
-    """The slice's (ids, roles, times, seqs, parents) with more facts, and whether they changed it. Copies of a record are one: the
-    first to arrive that is a turn tells role and time."""
-    known = {i: (r, t, s) for i, r, t, s in zip(*held[:4])}
-    above = dict.fromkeys(held[4])
-    changed = False
-    for uid, parent, role, ts, seq in zip(uids, parents, roles, times, seqs):
-        old = known.get(uid)
-        new = (role, ts, seq)
-        if old is None or (role is not None and (old[0] is None or seq < old[2])):
+def merge(held: dict, facts: list[str]) -> bool:
+    """Put facts into what a slice holds; whether they changed it. Copies of a record are one: the first to arrive that is a
+    turn tells role and time."""
+    turns, parents, changed = held["turns"], held["parents"], False
+    for fact in facts:
+        uid, parent, role, ts, seq, clock = json.loads(fact)
+        new = [role, int(ts), int(seq)]
+        old = turns.get(uid)
+        if old is None or (role is not None and (old[0] is None or new[2] < old[2])):
             changed |= old != new
-            known[uid] = new
-        if parent is not None and parent not in above:
-            above[parent] = None
+            turns[uid] = new
+        if parent is not None and parent not in parents:
+            parents[parent] = 1
             changed = True
-    values = list(known.values())
-    return (list(known), [v[0] for v in values], [v[1] for v in values], [v[2] for v in values], list(above)), changed
+        held["last"] = max(held["last"], int(clock or 0))
+    return changed
+
+
+def _said(kind: str, unit: str, held: dict) -> str:
+    """The JSON of one emitted row."""
+    runtime, session_id, part = json.loads(unit)
+    if kind == "stray":
+        row = (held["strays"], None, None, None, [], [])
+    else:
+        turns = held["turns"]
+        row = summary(list(turns), *(list(x) for x in zip(*turns.values())), list(held["parents"]))
+    return json.dumps(dict(zip(_FIELDS, (kind, runtime, session_id, int(part), held["revision"], *row))))
+
+
+_NEW = {"turns": {}, "parents": {}, "last": 0, "revision": 0, "strays": 0, "gone": False}
 
 
 def _slice(timeout_ms: int, retain_ms: int | None):
-    """The state function of one (runtime, session, slice)."""
+    """The state function of one slice."""
 
     def run(key, frames, state):
-        runtime, session_id, part = key
-        if session_id is None:  # rows that only move the watermark
+        (unit,) = key
+        if unit.startswith(_TICK):  # rows that only move the watermark
             return
-        *held, last, revision, open_, gone = state.get if state.exists else ([], [], [], [], [], 0, 0, False, False)
-        changed, strays = False, 0
+        text, open_ = state.get if state.exists else (None, False)
+        held = json.loads(text) if text else json.loads(json.dumps(_NEW))
+        changed = strays = 0
         if not state.hasTimedOut:
             for pdf in frames:
-                pdf = pdf.astype(object).where(pdf.notna(), None)
-                if gone:
+                if held["gone"]:
                     strays += len(pdf)
-                    continue
-                held, new = merged(tuple(held), pdf.uid, pdf.parent, pdf.role, pdf.ts.map(int), pdf.seq.map(int))
-                changed |= new
-                last = max([last, *(int(x) for x in pdf.clock_ms if x is not None)])
+                else:
+                    changed |= merge(held, pdf.iloc[:, 1].tolist())
         now = state.getCurrentWatermarkMs()
-        due = last + timeout_ms
-        open_ = open_ or changed
-        out = []
+        due = held["last"] + timeout_ms
+        open_ = open_ or bool(changed)
+        said = None
         if strays:
-            revision += 1
-            out.append(("stray", runtime, session_id, part, revision, strays, None, None, None, [], []))
+            held["strays"] += strays
+            held["revision"] += 1
+            said = _said("stray", unit, held)
         elif open_ and due <= now:
-            revision, open_ = revision + 1, False
-            out.append(("slice", runtime, session_id, part, revision, *summary(*held)))
-        if not gone and not open_ and retain_ms is not None and due + retain_ms <= now:
-            held, gone = ([], [], [], [], []), True
-        state.update((*held, last, revision, open_, gone))
-        if not gone:
+            held["revision"] += 1
+            open_ = False
+            said = _said("slice", unit, held)
+        if not held["gone"] and not open_ and retain_ms is not None and due + retain_ms <= now:
+            held.update(turns={}, parents={}, gone=True)
+        state.update((json.dumps(held), open_))
+        if not held["gone"]:
             later = due if open_ else None if retain_ms is None else due + retain_ms
             if later is not None:
                 state.setTimeoutTimestamp(max(later, now + 1))
-        if out:
-            yield pd.DataFrame(out, columns=_OUT).astype({"broken": object})
+        if said:
+            yield pd.DataFrame({"said": [said]})
 
     return run
 
@@ -155,20 +173,25 @@ def stream_units(messages: DataFrame, delay: str = DELAY, slice_ms: int = SLICE_
 
 
 def _units_of_facts(facts: DataFrame, delay: str, timeout_ms: int, retain_ms: int | None) -> DataFrame:
-    ticked = facts.select(*_COLUMNS).mapInArrow(_with_ticks, f"{FACTS}, clock timestamp").withWatermark("clock", delay)
-    return ticked.groupBy(*_KEY).applyInPandasWithState(_slice(timeout_ms, retain_ms), EMITTED, STATE, "append", "EventTimeTimeout")
+    ticked = facts.mapInArrow(_with_ticks, "unit string, fact string, clock timestamp").withWatermark("clock", delay)
+    said = ticked.groupBy("unit").applyInPandasWithState(_slice(timeout_ms, retain_ms), "said string", STATE, "append", "EventTimeTimeout")
+    return said.select(F.from_json("said", EMITTED).alias("s")).select("s.*")
 
 
 def open_units(spark, checkpoint: str) -> DataFrame:
     """What the slices that are open in the state store of a stopped stream would say."""
-    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*").where("open")
+    held = spark.read.format("statestore").load(checkpoint).select("key.unit", "value.groupState.*").where("open").select("unit", "held")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [("slice", r.runtime, r.session_id, r.part, r.revision + 1, *summary(*([*x] for x in (r.ids, r.roles, r.times, r.seqs, r.parents)))) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=_OUT).astype({"broken": object})
+            out = []
+            for unit, text in zip(pdf["unit"], pdf["held"]):
+                told = json.loads(text)
+                told["revision"] += 1
+                out.append(_said("slice", unit, told))
+            yield pd.DataFrame({"said": out}, dtype=object)
 
-    return held.mapInPandas(run, EMITTED)
+    return held.mapInPandas(run, "said string").select(F.from_json("said", EMITTED).alias("s")).select("s.*")
 
 
 class Feed:
@@ -193,7 +216,7 @@ class Feed:
         self.send_facts(facts_of(messages, self.slice_ms))
 
     def send_facts(self, facts: DataFrame) -> None:
-        facts.select(*_COLUMNS).write.mode("append").parquet(f"{self.base}/facts")
+        facts.write.mode("append").parquet(f"{self.base}/facts")
         self.query.processAllAvailable()
 
     def emitted(self) -> DataFrame:
@@ -245,7 +268,8 @@ def verdicts(units: DataFrame, known: DataFrame | None = None) -> DataFrame:
     own = flat.join(asked.select("runtime", "session_id").distinct(), ["runtime", "session_id"], "left_semi").select("runtime", "session_id", F.explode("own").alias("id"))
     lost = asked.join(own, ["runtime", "session_id", "id"], "left_anti").select("runtime", "session_id", F.lit(1).alias("n_lost"))
     row = flat.select("runtime", "session_id").unionByName(lost, allowMissingColumns=True)
-    row = row.unionByName(units.where("kind = 'stray'").select("runtime", "session_id", F.col("n").alias("n_stray")), allowMissingColumns=True)
+    strays = units.where("kind = 'stray'").groupBy(*_KEY).agg(F.max("n").alias("n_stray")).select("runtime", "session_id", "n_stray")
+    row = row.unionByName(strays, allowMissingColumns=True)
     row = row.unionByName(turns.select("runtime", "session_id", F.col("n").alias("n_turns"), F.struct("part", "first_role").alias("first"), F.struct("part", "last_role").alias("last"), "broken"), allowMissingColumns=True)
     if known is not None:
         row = row.unionByName(known.where(F.col("session_id").isNotNull()).select("runtime", "session_id"), allowMissingColumns=True)

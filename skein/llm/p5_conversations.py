@@ -76,8 +76,7 @@ def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_verdicts": p5_verdicts, "p5_conversations": p5_conversations}
-SQL = {
-    "p5_found": r"""
+_TURNS = r"""
 WITH c AS (
   SELECT rec_id, record ->> '$.sessionId' AS sid, record ->> '$.uuid' AS uid, record ->> '$.parentUuid' AS parent,
     lower(trim(record ->> '$.message.role', E' \t\r\n')) AS role, lower(trim(coalesce(record ->> '$.isMeta', ''), E' \t\r\n')) AS meta,
@@ -97,20 +96,34 @@ t AS (
       lambda i: CASE WHEN json_type(content, '$[' || i || '].text') = 'VARCHAR' THEN json_extract_string(content, '$[' || i || '].text') END), chr(10)) END AS txt
   FROM m WHERE sid IS NOT NULL),
 turns AS (
-  SELECT runtime, sid, uid, any_value(role) AS role, min(ts) AS ts, min(seq) AS seq FROM t
+  SELECT runtime, sid, uid, arg_min(role, seq) AS role, min(ts) AS ts, min(seq) AS seq, arg_min(txt, seq) AS txt FROM t
   WHERE role IN ('user', 'assistant') AND meta <> 'true' AND trim(coalesce(txt, ''), E' \t\r\n') <> '' GROUP BY runtime, sid, uid),
 seq AS (
   SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM turns WINDOW w AS (PARTITION BY runtime, sid ORDER BY ts, seq, uid)),
-ok AS (
-  SELECT runtime, sid FROM seq GROUP BY runtime, sid
-  HAVING bool_and(prev IS NOT NULL OR role = 'user') AND bool_and(role <> 'user' OR coalesce(next, '') = 'assistant')),
+"""
+_VERDICTS = (
+    _TURNS
+    + r"""told AS (
+  SELECT runtime, sid, count(*) AS n_turns, bool_or(prev IS NULL AND role <> 'user') AS headless,
+    bool_or(role = 'user' AND coalesce(next, '') <> 'assistant') AS unanswered FROM seq GROUP BY runtime, sid),
 lost AS (
-  SELECT DISTINCT a.sid FROM c a WHERE a.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c b WHERE b.sid = a.sid AND b.uid = a.parent)),
+  SELECT sid, count(DISTINCT parent) AS n FROM c a
+  WHERE a.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c b WHERE b.sid = a.sid AND b.uid = a.parent) GROUP BY sid),
 every AS (
   SELECT 'claude' AS runtime, sid FROM c WHERE sid IS NOT NULL UNION SELECT 'opencode', id FROM oc_session WHERE id IS NOT NULL
-  UNION SELECT 'opencode', session_id FROM oc_message WHERE session_id IS NOT NULL)
-SELECT e.runtime, e.sid AS session_id FROM every e
-WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.runtime = e.runtime AND ok.sid = e.sid)
-  OR (e.runtime = 'claude' AND e.sid IN (SELECT sid FROM lost))
+  UNION SELECT 'opencode', session_id FROM oc_message WHERE session_id IS NOT NULL),
+v AS (
+  SELECT e.runtime, e.sid AS session_id, coalesce(t.n_turns, 0) AS n_turns, CASE WHEN e.runtime = 'claude' THEN coalesce(l.n, 0) ELSE 0 END AS n_lost, 0 AS n_stray, headless, unanswered
+  FROM every e LEFT JOIN told t ON t.runtime = e.runtime AND t.sid = e.sid LEFT JOIN lost l ON l.sid = e.sid),
+w AS (
+  SELECT runtime, session_id, n_turns, n_lost, n_stray,
+    CASE WHEN n_turns = 0 THEN 'empty' WHEN n_lost > 0 THEN 'broken' WHEN headless THEN 'headless' WHEN unanswered THEN 'unanswered' END AS reason FROM v)
 """
+)
+SQL = {
+    "p5_found": _VERDICTS + " SELECT runtime, session_id FROM w WHERE reason IS NOT NULL",
+    "p5_verdicts": _VERDICTS + " SELECT runtime, session_id, n_turns, n_lost, n_stray, reason IS NULL AS kept, reason FROM w",
+    "p5_conversations": _VERDICTS
+    + r""" SELECT s.runtime, s.sid AS session_id, row_number() OVER (PARTITION BY s.runtime, s.sid ORDER BY s.ts, s.seq, s.uid) - 1 AS turn_no, s.role, s.ts, s.txt AS text
+FROM seq s JOIN w ON w.runtime = s.runtime AND w.session_id = s.sid WHERE w.reason IS NULL""",
 }
