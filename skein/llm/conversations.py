@@ -43,6 +43,8 @@ FACTS = "unit string, fact string, clock_ms bigint"
 STATE = "held string, open boolean"
 EMITTED = "kind string, runtime string, session_id string, part bigint, revision bigint, n bigint, first_role string, last_role string, broken boolean, lost array<string>, own array<string>"
 _TICK = "tick"
+# Fixed value: the key by which Spark marks a column of event time.
+_DELAY_MARK = "spark.watermarkDelayMs"
 _FIELDS = [c.split()[0] for c in EMITTED.split(", ")]
 _KEY = ["runtime", "session_id", "part"]
 _ROCKS = {
@@ -174,6 +176,10 @@ def stream_units(messages: DataFrame, delay: str = DELAY, slice_ms: int = SLICE_
 
 def _units_of_facts(facts: DataFrame, delay: str, timeout_ms: int, retain_ms: int | None) -> DataFrame:
     ticked = facts.mapInArrow(_with_ticks, "unit string, fact string, clock timestamp").withWatermark("clock", delay)
+    # The watermark is taken; a time with a zone would cost more to hand over than all the rest, so its number goes on, still
+    # marked as the column of event time.
+    mark = ticked.schema["clock"].metadata or {_DELAY_MARK: int(pd.Timedelta(delay).total_seconds() * 1000)}
+    ticked = ticked.select("unit", "fact", F.col("clock").cast("bigint").alias("clock", metadata=mark))
     said = ticked.groupBy("unit").applyInPandasWithState(_slice(timeout_ms, retain_ms), "said string", STATE, "append", "EventTimeTimeout")
     return said.select(F.from_json("said", EMITTED).alias("s")).select("s.*")
 
