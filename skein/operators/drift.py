@@ -86,22 +86,20 @@ def parse_records(records: DataFrame) -> DataFrame:
     return doc.select("runtime", "rec_id", "file_name", kind.alias("rec_kind"), F.concat(_fields(F.col("v")), F.coalesce(message, empty)).alias("fields"))
 
 
-def _judged(parsed: DataFrame, schema: TargetSchema) -> DataFrame:
+def rescue(parsed: DataFrame, schema: TargetSchema) -> DataFrame:
+    """One row per record: its keys, whether its kind is agreed, `fit` (path -> value of every agreed field of an allowed type) and
+    `_rescued`, a JSON object of all other fields, null without any."""
     key = F.concat_ws("/", "runtime", "rec_kind")
-    listed = F.coalesce(F.element_at(schema.listed(), key), F.array().cast("array<string>"))
-    allowed = F.coalesce(F.element_at(schema.allowed(), key), F.array().cast("array<string>"))
-    told = parsed.withColumn("_known", F.element_at(schema.listed(), key).isNotNull()).withColumn("_listed", listed).withColumn("_allowed", allowed)
-    judged = F.transform(
-        "fields",
-        lambda f: F.struct(
-            f["path"].alias("path"),
-            f["json_type"].alias("json_type"),
-            f["value"].alias("value"),
-            F.array_contains("_listed", f["path"]).alias("listed"),
-            F.array_contains("_allowed", F.concat_ws("|", f["path"], f["json_type"])).alias("fits"),
-        ),
-    )
-    return told.withColumn("fields", judged).drop("_listed", "_allowed")
+    allowed = F.element_at(schema.allowed(), key)
+    rows = parsed.withColumn("known", allowed.isNotNull()).withColumn("_allowed", F.coalesce(allowed, F.array().cast("array<string>")))
+
+    def fits(f: Column) -> Column:
+        return F.array_contains("_allowed", F.concat_ws("|", f["path"], f["json_type"]))
+
+    fit = F.map_from_entries(F.transform(F.filter("fields", fits), lambda f: F.struct(f["path"], f["value"])))
+    rest = F.filter("fields", lambda f: ~fits(f))
+    rescued = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda f: F.struct(f["path"], F.to_json(f["value"]))))))
+    return rows.select("runtime", "rec_id", "file_name", "rec_kind", "known", fit.alias("fit"), rescued.alias("_rescued"))
 
 
 def _as_text(value: Column) -> Column:
@@ -117,14 +115,10 @@ def ingest(parsed: DataFrame, schema: TargetSchema) -> DataFrame:
 
     Records of a kind that isn't agreed have all their fields in `_rescued`. A repeated record stays a row of its own.
     """
-    rows = _judged(parsed, schema)
-    fitting = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["fits"]), lambda f: F.struct(f["path"], f["value"])))
-    rest = F.filter("fields", lambda f: ~f["fits"])
-    rescued = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda f: F.struct(f["path"], F.to_json(f["value"]))))))
-    rows = rows.select("runtime", "rec_id", "file_name", "rec_kind", fitting.alias("_fit"), rescued.alias("_rescued"))
+    rows = rescue(parsed, schema)
     typed = []
     for path, kind in schema.columns().items():
-        value = F.element_at("_fit", F.lit(path))
+        value = F.element_at("fit", F.lit(path))
         typed.append((_as_text(value) if kind == "string" else F.try_variant_get(value, "$", kind)).alias(column_name(path)))
     return rows.select("runtime", "rec_id", "file_name", "rec_kind", *typed, "_rescued")
 
@@ -155,19 +149,26 @@ def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
 def drift_report(parsed: DataFrame, schema: TargetSchema) -> DataFrame:
     """(runtime, file_name, rec_kind, field_path, change_kind): each departure of a file from the agreed fields.
 
-    Derived from the ingestion's verdicts on fields: the rescued ones give `added` and `retyped`, the agreed and
-    required ones that no record of the kind in the file has give `removed`, kinds that aren't agreed give `new_kind`.
+    Read off the ingestion: the keys of `_rescued` give `added` and `retyped`, the agreed and required fields that no record of
+    the kind in the file has, fitting or rescued, give `removed`, kinds that aren't agreed give `new_kind`.
     """
-    rows = _judged(parsed, schema)
-    seen = rows.select("runtime", "file_name", "rec_kind", "_known", F.explode_outer(F.transform("fields", lambda f: F.struct(f["path"], f["listed"], f["fits"]))).alias("f"))
-    seen = seen.select("runtime", "file_name", "rec_kind", F.when(F.col("_known"), F.col("f.path")).alias("field_path"), "_known", F.col("f.listed").alias("listed"), F.col("f.fits").alias("fits"))
+    rows = rescue(parsed, schema)
+
+    def named(paths: Column, fits: bool) -> Column:
+        return F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.struct(p.alias("path"), F.lit(fits).alias("fits")))
+
+    # A record without fields still shows that its file has the kind; of kinds that aren't agreed no field counts.
+    fields = F.when(F.col("known"), F.concat(named(F.map_keys("fit"), True), named(F.json_object_keys("_rescued"), False)))
+    seen = rows.select("runtime", "file_name", "rec_kind", "known", F.explode_outer(fields).alias("f"))
+    seen = seen.select("runtime", "file_name", "rec_kind", "known", F.col("f.path").alias("field_path"), F.col("f.fits").alias("fits"))
     # One row per file, kind and field from here on; map-side partial aggregation meets hot files.
-    facts = materialize(seen.groupBy("runtime", "file_name", "rec_kind", "_known", "field_path").agg(F.max("listed").alias("listed"), F.min("fits").alias("fits")), "drift")
+    facts = materialize(seen.groupBy("runtime", "file_name", "rec_kind", "known", "field_path").agg(F.min("fits").alias("fits")), "drift")
     key = F.concat_ws("/", "runtime", "rec_kind")
-    wrong = facts.where(F.col("_known") & ~F.col("fits")).select("runtime", "file_name", "rec_kind", "field_path", F.when(F.col("listed"), "retyped").otherwise("added").alias("change_kind"))
-    kinds = facts.where("_known").select("runtime", "file_name", "rec_kind").distinct()
+    listed = F.array_contains(F.element_at(schema.listed(), key), F.col("field_path"))
+    wrong = facts.where(F.col("known") & ~F.col("fits")).select("runtime", "file_name", "rec_kind", "field_path", F.when(listed, "retyped").otherwise("added").alias("change_kind"))
+    kinds = facts.where("known").select("runtime", "file_name", "rec_kind").distinct()
     wanted = kinds.select("*", F.explode(F.element_at(schema.needed(), key)).alias("field_path"))
     same = [wanted[c].eqNullSafe(facts[c]) for c in ("runtime", "file_name", "rec_kind")] + [wanted["field_path"] == facts["field_path"]]
     gone = wanted.join(facts.where(F.col("field_path").isNotNull()), same[0] & same[1] & same[2] & same[3], "left_anti").withColumn("change_kind", F.lit("removed"))
-    new = facts.where(~F.col("_known")).select("runtime", "file_name", "rec_kind", F.lit("type").alias("field_path"), F.lit("new_kind").alias("change_kind")).distinct()
+    new = facts.where(~F.col("known")).select("runtime", "file_name", "rec_kind", F.lit("type").alias("field_path"), F.lit("new_kind").alias("change_kind")).distinct()
     return wrong.unionByName(gone).unionByName(new)

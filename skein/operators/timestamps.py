@@ -109,7 +109,11 @@ def build_dictionary(stamps: DataFrame, known: DataFrame | None = None) -> DataF
 
 
 class StampDictionary:
-    """The dictionary as a table of files under `path`; `extend` appends what is new and leaves the rest."""
+    """The dictionary as a table of files under `path`; `extend` appends what is new and leaves the rest.
+
+    Give the same path run after run and each distinct pair is parsed once in all of them. Two writers at a time may both
+    append a pair; they parse it alike, and `read` shows it once.
+    """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
@@ -123,7 +127,7 @@ class StampDictionary:
 
     def extend(self, stamps: DataFrame) -> DataFrame:
         build_dictionary(stamps, self.read()).write.mode("append").parquet(self.path)
-        return self.read()
+        return self.read().groupBy("raw", "zone").agg(F.first("epoch_ms").alias("epoch_ms"))
 
 
 HOT_PART, SALTS = 256, 16
@@ -154,7 +158,6 @@ def normalize(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def with_zone(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     """`rows` with the zone of their host; null for null and unlisted hosts. `hosts` is a table of configuration
-    size: it is broadcast up to 100,000 rows and joined with a shuffle beyond. A host listed twice keeps its smallest zone."""
+    size, which adaptive execution broadcasts while it is small. A host listed twice keeps its smallest zone."""
     zones = hosts.where(F.col("host").isNotNull()).groupBy(F.col("host").alias("_host")).agg(F.min("tz_name").alias("zone"))
-    small = zones.limit(100_001).count() <= 100_000
-    return rows.join(F.broadcast(zones) if small else zones, F.col("host") == F.col("_host"), "left").drop("_host")
+    return rows.join(zones, F.col("host") == F.col("_host"), "left").drop("_host")

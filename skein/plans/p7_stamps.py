@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.timestamps import PLAIN_UTC, StampDictionary, normalize, with_zone
-from skein.session import allow_duplicate_keys, fresh_path, materialize, parse_line, table
+from skein.session import allow_duplicate_keys, materialize, parse_line, shared_dir, table
 
 
 def stamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,15 @@ def stamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codex.unionByName(pi).unionByName(oc).where(F.col("raw").isNotNull())
 
 
+def dictionary_path(spark: SparkSession) -> str:
+    """Where the dictionary is kept from run to run: spark.skein.stamps.dir, else a fixed place in the shared folder. Its rows depend
+    on raw text and zone alone, so that tables may share it; the name changes when the rules of parsing do."""
+    return f"{spark.conf.get('spark.skein.stamps.dir', None) or shared_dir(spark)}/skein-stamps-v1"
+
+
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(with_zone(stamp_rows(spark, sf_dir), table(spark, sf_dir, "host_zones")), "stamps")
-    dictionary = StampDictionary(spark, fresh_path(spark, "stamps"))
+    dictionary = StampDictionary(spark, dictionary_path(spark))
     return normalize(rows, dictionary.extend(rows.select("raw", "zone")))
 
 

@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -65,7 +65,7 @@ def _sweep() -> None:
             if path.startswith("file:"):
                 shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
             else:
-                _delete(spark, path)
+                delete_path(spark, path)
         except Exception:  # the session may be gone at exit
             pass
     _made.clear()
@@ -96,7 +96,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete a table that `materialize` wrote, once nothing that is still to run reads it."""
     path = _tables.pop(id(df), None)
     if path:
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
@@ -130,5 +130,6 @@ def json_kind(variant):
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
-    """The last of repeated keys holds, as in other JSON readers, instead of an error."""
+    """The last of repeated keys holds, in JSON and in maps made of it, as in other JSON readers, instead of an error."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
