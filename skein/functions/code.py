@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 import shlex
 
@@ -56,12 +55,15 @@ def shell_programs():
 
 
 def keyed_id(secret: str, length: int = 24):
-    """A column function: the first digits of the HMAC-SHA256 of a text under a secret; null stays null."""
+    """A column function: the first digits of the HMAC-SHA256 of a text under a secret; null stays null. Two digests over
+    padded keys, so that it stays in the JVM."""
     key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(k ^ pad for k in key)) for pad in (0x36, 0x5C))
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest()[:length])
+    def run(value):
+        first = F.unhex(F.sha2(F.concat(inner, value.cast("binary")), 256))
+        return F.substring(F.sha2(F.concat(outer, first), 256), 1, length)
 
     return run
 

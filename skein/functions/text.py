@@ -65,9 +65,9 @@ def content_id(text: Column, start: Column | None = None, length: int = 16) -> C
     return F.substring(F.sha2(F.concat(at.cast("string"), F.lit(":"), text), 256), 1, length)
 
 
-def canonical_digest(*columns: Column) -> Column:
-    """Digest of a row as JSON with nulls kept and keys in the order given."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def canonical_digest(*names: str) -> Column:
+    """Digest of the named columns as JSON with nulls kept and keys sorted."""
+    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
 
 
 def floor_div(a: Column, b: int) -> Column:

@@ -23,9 +23,7 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame
         F.min("_r").alias("_first"),
         *[F.count_if(F.col("_r") <= k).alias(f"_hit{k}") for k in sorted({*P_AT, *R_AT})],
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "id")
-    ideal = qrels.where("grade > 0").withColumn("_r", F.row_number().over(best))
-    most = ideal.groupBy("query_id").agg(*[F.sum(F.when(F.col("_r") <= k, gain)).alias(f"_ideal{k}") for k in NDCG_AT], F.count(F.lit(1)).alias("n_relevant"))
+    most = _ideal(qrels)
     rows = queries.select("query_id").distinct().join(most, "query_id", "left").join(got, "query_id", "left")
     some, zero = F.col("n_relevant").isNotNull(), F.lit(0.0)
     return rows.select(
@@ -37,6 +35,21 @@ def per_query(run: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame
     )
 
 
+def _ideal(qrels: DataFrame) -> DataFrame:
+    """(query_id, n_relevant, ideal gains): how many documents each grade has is all that the best order depends on."""
+    counts = qrels.where("grade > 0").groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("query_id").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("_from", F.coalesce(above, F.lit(0)))
+
+    def upto(k: int):
+        # The places of a grade's documents among the first k.
+        at = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda r: (r > F.col("_from")) & (r <= F.col("_from") + F.col("_n")))
+        worth = F.aggregate(at, F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + F.lit(1.0)))
+        return F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) * worth).alias(f"_ideal{k}")
+
+    return placed.groupBy("query_id").agg(F.sum("_n").alias("n_relevant"), *[upto(k) for k in NDCG_AT])
+
+
 def metric_names() -> list[str]:
     return [f"ndcg_{k}" for k in NDCG_AT] + [f"rr_{k}" for k in RR_AT] + [f"p_{k}" for k in P_AT] + [f"r_{k}" for k in R_AT]
 

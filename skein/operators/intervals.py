@@ -6,6 +6,9 @@ count for nothing.
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +61,58 @@ def lengths(base: DataFrame, other: DataFrame, keys: list[str], width: int) -> D
     )
 
 
+def _sweep(keys: list[str], claim: list[str]):
+    """Lengths by claim inside one bucket: borders in order, a heap of the claims that are open."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.astype(object).where(group.notna(), None)
+        claims = list(zip(*(group[c] for c in claim)))
+        ranks = [tuple((v is not None, v) for v in c) for c in claims]  # nulls come first, as in structs
+        order = {c: n for n, c in enumerate(sorted(set(ranks)))}
+        numbers = [order[c] for c in ranks]
+        names = {n: c for n, c in zip(numbers, claims)}
+        starts = sorted(zip(group["lo"], group["hi"], numbers))
+        held: list[tuple[int, int]] = []
+        length: dict[int, int] = {}
+        at, k = None, 0
+        while k < len(starts) or held:
+            while held and at is not None and held[0][1] <= at:
+                heapq.heappop(held)
+            if not held:
+                if k == len(starts):
+                    break
+                at = starts[k][0]
+            while k < len(starts) and starts[k][0] <= at:
+                heapq.heappush(held, (starts[k][2], starts[k][1]))
+                k += 1
+            owner, end = held[0]
+            if end <= at:
+                continue
+            upto = end if k == len(starts) else min(end, starts[k][0])
+            length[owner] = length.get(owner, 0) + upto - at
+            at = upto
+        out = pd.DataFrame([names[n] for n in length], columns=claim)
+        for c in keys:
+            out[c] = group[c].iloc[0]
+        return out.assign(length=list(length.values()))[[*keys, *claim, "length"]]
+
+    return run
+
+
 def first_claims(rows: DataFrame, keys: list[str], width: int, claim: list[str]) -> DataFrame:
     """(keys, claim, length): each stretch covered by rows(keys, lo, hi, claim) counts once, for the smallest claim on it.
 
-    Stretches between borders of one bucket are matched with the intervals over them through the border numbers.
+    A sweep over the borders of each bucket, so that intervals and stretches are never paired.
     """
     parts = clipped(rows.select(*keys, *claim, "lo", "hi"), keys, width)
-    points = parts.select(*keys, "_bucket", F.explode(F.array("lo", "hi")).alias("at")).distinct()
-    order = Window.partitionBy(*keys, "_bucket").orderBy("at")
-    cuts = points.select(*keys, "_bucket", F.col("at").alias("_a"), F.lead("at").over(order).alias("_b")).where(F.col("_b").isNotNull())
-    over = parts.join(cuts, [*keys, "_bucket"]).where((F.col("_a") >= F.col("lo")) & (F.col("_b") <= F.col("hi")))
-    owner = over.groupBy(*keys, "_bucket", "_a", "_b").agg(F.min(F.struct(*claim)).alias("_c"))
-    return owner.groupBy(*keys, *[F.col(f"_c.{c}").alias(c) for c in claim]).agg(F.sum(F.col("_b") - F.col("_a")).alias("length"))
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *claim]) + ", length bigint"
+    told = parts.groupBy(*keys, "_bucket").applyInPandas(_drop_bucket(_sweep(keys, claim)), schema)
+    return told.groupBy(*keys, *claim).agg(F.sum("length").alias("length"))
+
+
+def _drop_bucket(run):
+    return lambda group: run(group.drop(columns="_bucket"))
 
 
 def band_join(points: DataFrame, bands: DataFrame, on: list[str], width: int, at: str = "at", lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -12,10 +12,13 @@ K1, B, RRF_K = 1.2, 0.75, 60
 DENSE_WEIGHT = (0.25, 4.0)
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """(id, token, tf, length) of docs(id, text): one row per document and token, combined before the shuffle."""
+def terms(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, token, tf, length) of docs(id, text): one row per document and token, those of `only`(token) if given, combined
+    before the shuffle; the length counts all tokens."""
     listed = docs.select("id", tokens(F.col("text")).alias("t"))
     rows = listed.select("id", F.size("t").cast("bigint").alias("length"), F.explode("t").alias("token"))
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
     return rows.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -45,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     wanted = query_tokens(queries)
     stats = corpus_stats(docs)
-    tf = terms(docs).join(wanted.select("token").distinct(), "token", "left_semi")
+    tf = terms(docs, wanted.select("token").distinct())
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighed = wanted.join(df, "token").crossJoin(F.broadcast(stats))  # the statistics are one row
     n, d = F.col("n_docs"), F.col("df")

@@ -61,3 +61,38 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: Column, name:
     carried = totals.withColumn("_c", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
     joined = rows.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")), "left")
     return joined.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("_c")).drop("_bucket", "_key", "_at", "_v", "_c")
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(key, one column for each share): percentiles of the non-null values of each key, exact, linear between ranks.
+
+    A sketch brackets each percentile; rows below a bracket are counted, and only the distinct values inside it are ordered
+    (about a 1,000th of a key's rows for each share, fewer where values repeat). A key of a third of all rows is no single
+    task's set of values.
+    """
+    held = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
+    slack = 4.0 / accuracy
+    ends = [x for p in shares.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    told = held.groupBy("_key").agg(F.percentile_approx("_v", [float(x) for x in ends], accuracy).alias("_ends"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    few = F.col("_n") <= accuracy  # a place more or less is more than the slack: all values are inside
+    brackets = F.array(*[
+        F.struct(
+            F.lit(name).alias("name"),
+            F.lit(p).alias("share"),
+            F.when(few | F.lit(p <= slack), F.col("_least")).otherwise(F.col("_ends")[2 * i]).alias("low"),
+            F.when(few | F.lit(p + slack >= 1), F.col("_most")).otherwise(F.col("_ends")[2 * i + 1]).alias("high"),
+        )
+        for i, (name, p) in enumerate(shares.items())
+    ])
+    wanted = told.select("_key", "_n", brackets.alias("_b"))
+    rows = held.join(wanted.withColumnRenamed("_key", "_k2"), F.col("_key").eqNullSafe(F.col("_k2"))).drop("_k2")
+    placed = rows.select("_key", "_n", "_v", F.explode("_b").alias("b")).select("_key", "_n", "b.name", "b.share", "b.low", F.when(F.col("_v") >= F.col("b.low"), F.col("_v")).alias("_v"), (F.col("_v") > F.col("b.high")).alias("_above"))
+    placed = placed.where(~F.col("_above"))
+    counts = placed.groupBy("_key", "_n", "name", "share", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy("_key", "name").orderBy(F.col("_v").asc_nulls_first())
+    upto = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.col("share") * (F.col("_n") - 1)
+    first = lambda r: F.min(F.when((F.col("_upto") > r) & F.col("_v").isNotNull(), F.col("_v")))
+    ends = upto.groupBy("_key", "name").agg(first(F.floor(rank)).alias("_a"), first(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
+    each = ends.select("_key", "name", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_p"))
+    return each.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in shares])

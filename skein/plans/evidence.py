@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from skein.functions import candidates, code
 from skein.functions import text as T
-from skein.operators import coarse_index, lexical
+from skein.operators import coarse_index
 from skein.operators.nested import flatten
 from skein.operators.ordered import last_before, next_after
-from skein.operators.vector import dot, unit
 from skein.plans import ledger, p2_hierarchy, retrieval
 from skein.plans.p3_nested import nested_records
 from skein.session import allow_duplicate_keys, json_kind, materialize, parse_line, table
 from skein.sources.transcripts import string_at
 
 
-#: Lists searched for each query; every vector lies in its two nearest lists. Recall is what ivf_recall measures.
-LISTS, PROBES = 32, 14
-
-
 def evidence_census(spark, d):
     """Turns, calls, results and other blocks of claude and codex by kind."""
     return flatten(nested_records(spark, d), "blocks").where("parent_path IS NULL").groupBy("runtime", "block_type").agg(F.count(F.lit(1)).alias("n"))
@@ -213,14 +208,11 @@ def coverage_watermark(spark, d):
 
 
 def ivf_recall(spark, d):
-    """Every fiftieth vector searched in the nearest lists of a coarse index, against the exact ten: recall of each query."""
+    """Every fiftieth vector searched by product codes in the nearest lists, against the exact ten: recall of each query."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    centroids = coarse_index.fit(rows, lists=LISTS)
-    index = materialize(coarse_index.assign(rows, centroids, probes=2), "lists")
-    q = coarse_index.assign(rows.where(F.col("id") % retrieval.EVERY == 0), centroids, probes=PROBES).select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), "list_no")
-    units = index.select("id", "list_no", unit(F.col("vector")).alias("vector")).join(q.select("query_id", "list_no", unit(F.col("_q")).alias("_q")), "list_no")
-    scores = units.dropDuplicates(["query_id", "id"]).select("query_id", "id", F.round(dot(F.col("vector"), F.col("_q")), 5).alias("score"))
-    near = lexical.top_k(scores, 10).select("query_id", "id")
+    index, codes = coarse_index.build(rows)
+    queries = rows.where(F.col("id") % retrieval.EVERY == 0).withColumnRenamed("id", "query_id")
+    near = coarse_index.search(rows, codes, index, queries, 10).select("query_id", "id")
     exact = retrieval.cosine_topk(spark, d).select("query_id", "id")
     hit = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1))).alias("recall"))
@@ -262,6 +254,18 @@ SELECT id, directory, arg_max(owner, length(prefix)) AS owner FROM (SELECT DISTI
 SELECT runtime AS tree, level, count(*) AS n, count(DISTINCT p) AS n_ancestors FROM up GROUP BY runtime, level""",
     "contradiction_reasons": ledger._PAIRS + """, z AS (SELECT p.*, a.k AS ek, a.value AS ev, b.k AS rk, b.value AS rv FROM pairs p JOIN e a ON a.event_id = p.execution_id JOIN e b ON b.event_id = p.request_id)
 SELECT execution_id, request_id, array_to_string(list_filter([CASE WHEN ek % 2 <> rk % 2 THEN 'parity' END, CASE WHEN rv > ev THEN 'size' END, CASE WHEN ek < rk THEN 'order' END], lambda x: x IS NOT NULL), ',') AS reasons FROM z""",
+    "pseudonyms": """WITH i AS (SELECT DISTINCT id FROM oc_session WHERE id IS NOT NULL),
+k AS (SELECT rpad(hex('skein'::BLOB), 128, '0') AS k),
+p AS (SELECT string_agg(upper(printf('%02x', xor(('0x' || k[2 * n + 1:2 * n + 2])::INT, 54))), '' ORDER BY n) AS inner_, string_agg(upper(printf('%02x', xor(('0x' || k[2 * n + 1:2 * n + 2])::INT, 92))), '' ORDER BY n) AS outer_ FROM k, range(64) r(n))
+SELECT id, substr(sha256(from_hex(outer_ || sha256(from_hex(inner_ || hex(encode(id)))))), 1, 24) AS pseudonym FROM i, p""",
+    "confusable_negatives": f"""WITH q AS (SELECT id, min(query) AS query, min(query_class) AS qc FROM eval_queries WHERE id IS NOT NULL GROUP BY id),
+t AS (SELECT DISTINCT id, unnest(target_episode_ids) AS e FROM eval_queries WHERE id IS NOT NULL),
+w AS (SELECT DISTINCT id, qc, unnest({retrieval._TOK.format('query')}) AS token FROM q),
+sh AS (
+  SELECT m.id AS query_id, w.id, count(*) AS n_shared FROM w m JOIN w ON m.qc = w.qc AND m.token = w.token
+  WHERE TRY_CAST(regexp_extract(m.id, '(\\d+)$', 1) AS BIGINT) % 50 = 0 AND m.id <> w.id GROUP BY m.id, w.id),
+ap AS (SELECT * FROM sh WHERE NOT EXISTS (SELECT 1 FROM t a JOIN t b ON a.e = b.e WHERE a.id = sh.query_id AND b.id = sh.id))
+SELECT query_id, id, n_shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_shared DESC, id) AS rank FROM ap) WHERE rank <= 2""",
     "backfill_series": "SELECT ts::DATE::VARCHAR AS day, event_type, count(DISTINCT event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15' GROUP BY ALL",
     "strongest_reuse": "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END, event_type)) AS strongest, bool_or(event_type = 'error') AS any_error FROM events GROUP BY user_id",
     "representative_receipt": "SELECT o_custkey, arg_min(o_orderkey, (-round(o_totalprice * 100)::BIGINT, o_orderkey)) AS o_orderkey, max(round(o_totalprice * 100)::BIGINT) AS cents FROM orders GROUP BY o_custkey",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import intervals as I
-from skein.operators.ordered import last_before, next_after, running_sum, time_bucket
+from skein.operators.ordered import exact_percentiles, last_before, next_after, running_sum, time_bucket
 from skein.session import table
 
 DAY_MS = 86_400_000
@@ -305,8 +305,8 @@ def retention_split(spark, d):
 
 
 def percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.95)))
-    return _events(spark, d).groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p95"))])
+    shares = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
+    return exact_percentiles(_events(spark, d), "event_type", "value", shares).select("event_type", *[F.round(n, 6).alias(n) for n in shares])
 
 
 def openmetrics_lines(spark, d):

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import evaluation, lexical, tables
+from skein.operators import evaluation, tables, vector
 from skein.operators.components import components
 from skein.operators.hierarchy import hierarchy, one_parent
 from skein.plans import p2_hierarchy, retrieval
-from skein.plans.p3_nested import nested_records
+from skein.plans.p3_nested import _FILES, nested_records
 from skein.operators.nested import flatten
+from skein.operators.ordered import exact_percentiles
 from skein.session import allow_duplicate_keys, materialize, table
 from skein.sources import transcripts as S
 
@@ -71,16 +72,17 @@ def index_status(spark, d):
 
 
 def corpus_profile(spark, d):
-    size = F.length("text")
-    out = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.percentile(size, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), F.max(size).cast("bigint").alias("longest"))
-    return out.select("source", "n", *[F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "longest")
+    rows = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.length("text").alias("size"))
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("size").cast("bigint").alias("longest"))
+    return out.join(exact_percentiles(rows, "source", "size", shares), "source", "left").select("source", "n", *[F.round(n, 3).alias(n) for n in shares], "longest")
 
 
 def topological_levels(spark, d):
     """How deep each record lies below the first of its thread, by peeling: a parent comes before its children."""
     rows = _claude(spark, d).where(F.col("uuid").isNotNull())
     links = rows.select(F.col("session_id").alias("tree"), F.col("uuid").alias("node"), F.col("parent_uuid").alias("parent"), F.lit(None).cast("timestamp_ntz").alias("at"))
-    return hierarchy(one_parent(links)).groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").alias("depth"), F.count_if(F.col("cycle_id").isNotNull()).alias("n_circular"))
+    return hierarchy(one_parent(links), paths=False).groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").alias("depth"), F.count_if(F.col("cycle_id").isNotNull()).alias("n_circular"))
 
 
 def session_components(spark, d):
@@ -146,8 +148,7 @@ def cdc_receiver_apply(spark, d):
 
 
 def _run(spark, d):
-    scores = retrieval.cosine_scores(spark, d).withColumn("score", F.round("score", 5))
-    return lexical.top_k(scores, 100).select("query_id", "id", "score", "rank")
+    return vector.maxsim_top(*retrieval._single_rows(spark, d), 100, digits=5).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 def _qrels(spark, d):
@@ -264,6 +265,21 @@ SELECT record, revision, CASE WHEN NOT gone THEN v END AS value, gone AS is_dele
     "extended_metric_run": _R
     + """, b AS (SELECT query_id, id, min(CASE WHEN r <= 10 AND id % 2 = 0 THEN 0 ELSE 1 END) AS p, min(r) AS r FROM run GROUP BY query_id, id),
 n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p, r, id) AS position FROM b) SELECT query_id, id, position, (50 - position + 1)::DOUBLE AS score FROM n WHERE position <= 50""",
+    "metric_gates": _R
+    + ", g AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{m}')" for m in _M)
+    + ") t(metric)) SELECT 'all' AS slice, metric, CASE WHEN starts_with(metric, 'ndcg') THEN false ELSE true END AS passed FROM g UNION ALL SELECT 'overall', metric, CASE WHEN starts_with(metric, 'ndcg') THEN false ELSE true END FROM g WHERE EXISTS (SELECT 1 FROM m)",
+    "files_touched": f"SELECT session_id, count(DISTINCT file_path) AS n_files, min(file_path) AS first_file FROM ({_FILES}) f JOIN (SELECT rec_id, session_id FROM ({_C} SELECT rec_id, session_id FROM one)) r USING (rec_id) WHERE runtime = 'claude' GROUP BY session_id",
+    "topological_levels": """WITH RECURSIVE r AS (
+  SELECT rec_id, record ->> '$.sessionId' AS t, CASE WHEN json_type(record, '$.uuid') = 'VARCHAR' THEN record ->> '$.uuid' END AS n, record ->> '$.parentUuid' AS p
+  FROM claude_records WHERE json_valid(record) AND json_type(record) = 'OBJECT' AND json_type(record, '$.sessionId') = 'VARCHAR'),
+one AS (SELECT t, n, p FROM r WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t, n ORDER BY rec_id) = 1),
+links AS (SELECT t, n, p FROM one WHERE p IS NOT NULL),
+nodes AS (SELECT t, n FROM one UNION SELECT t, p FROM links),
+rooted AS (
+  SELECT t, n, 0::BIGINT AS depth FROM nodes x WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.t = x.t AND l.n = x.n)
+  UNION ALL SELECT l.t, l.n, r.depth + 1 FROM rooted r JOIN links l ON l.t = r.t AND l.p = r.n)
+SELECT x.t AS tree, count(*) AS n_nodes, max(r.depth) AS depth, count(*) FILTER (WHERE r.depth IS NULL) AS n_circular FROM nodes x LEFT JOIN rooted r ON r.t = x.t AND r.n = x.n GROUP BY x.t""",
     "query_split_census": "SELECT query_class, nullif(lower(trim(split)), '') AS split, count(DISTINCT id) AS n FROM eval_queries GROUP BY 1, 2",
 }
 QUERIES = {

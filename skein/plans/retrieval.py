@@ -73,15 +73,14 @@ def _chunk_queries(spark, d):
     return _chunks(spark, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "matrix")
 
 
-def cosine_scores(spark, d):
-    """Every fiftieth vector against all: late interaction of matrices of one row."""
+def _single_rows(spark, d):
+    """Vectors as matrices of one row; every fiftieth is a query."""
     rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.array("vector").alias("matrix"))
-    return vector.maxsim(rows, rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"))
+    return rows, rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id")
 
 
 def cosine_topk(spark, d):
-    scores = cosine_scores(spark, d).withColumn("score", F.round("score", 5))
-    return lexical.top_k(scores, 10).select("query_id", "id", "score", "rank")
+    return vector.maxsim_top(*_single_rows(spark, d), 10, digits=5).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 def unit_mean_vector(spark, d):
@@ -91,8 +90,8 @@ def unit_mean_vector(spark, d):
 
 
 def maxsim_multivector(spark, d):
-    scores = vector.maxsim(_chunks(spark, d), _chunk_queries(spark, d)).withColumn("score", F.round("score", 5))
-    return lexical.top_k(scores, 10).select("query_id", "id", "score", "rank")
+    out = vector.maxsim_top(_chunks(spark, d), _chunk_queries(spark, d), 10, digits=5)
+    return out.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 def two_stage_search(spark, d):
@@ -100,7 +99,7 @@ def two_stage_search(spark, d):
     proxies = vector.unit_mean(rows, "id")
     qp = proxies.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "proxy")
     out = vector.two_stage(_chunks(spark, d), proxies, _chunk_queries(spark, d), qp, 10)
-    return out.select("query_id", "id", F.round("score", 5).alias("score"))
+    return out.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def token_pooling(spark, d):
@@ -171,7 +170,7 @@ def chunk_id_digest(spark, d):
 
 def canonical_digest(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return rows.select("doc_id", T.canonical_digest(F.col("doc_id"), F.col("lang"), F.col("source")).alias("digest"))
+    return rows.select("doc_id", T.canonical_digest("source", "doc_id", "lang").alias("digest"))
 
 
 def strip_markup(spark, d):
@@ -251,6 +250,13 @@ SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 m AS (SELECT id, at_, avg(x) AS m FROM p GROUP BY id, at_)
 SELECT id, at_::BIGINT AS at, round(m / sqrt(sum(m * m) OVER (PARTITION BY id)), 5) AS x FROM m""",
     "maxsim_multivector": _CH + " SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM raw) WHERE rank <= 10",
+    "two_stage_search": _CH
+    + """, pm AS (SELECT id, generate_subscripts(e, 1) AS at_, unnest(e) AS x FROM v),
+pa AS (SELECT id, list(m ORDER BY at_) AS p FROM (SELECT id, at_, avg(x) AS m FROM pm GROUP BY id, at_) GROUP BY id),
+pu AS (SELECT id, list_transform(p, lambda x: x / sqrt(list_dot_product(p, p))) AS p FROM pa),
+near AS (SELECT a.id AS query_id, b.id, round(list_dot_product(a.p, b.p), 9) AS s FROM pu a, pu b WHERE a.id % 50 = 0),
+pool AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM near) WHERE r <= 320)
+SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM raw JOIN pool USING (query_id, id)) WHERE rank <= 10""",
     "episode_rollup": _CH
     + """, n AS (SELECT query_id, id // 8 AS episode, id, greatest(0, score) AS score FROM raw),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, episode ORDER BY score DESC, id) AS rn FROM n)

@@ -117,11 +117,21 @@ def test_vectors(spark):
     r = np.random.default_rng(1)
     chunks = spark.createDataFrame([(i, r.normal(size=(3, 4)).tolist()) for i in range(20)] + [(99, []), (100, [[0.0] * 4])], "id bigint, matrix array<array<double>>")
     q = chunks.where("id < 2").select(F.col("id").alias("query_id"), "matrix")
-    fast = {(x["query_id"], x["id"]): x["score"] for x in vector.maxsim(chunks, q).collect()}
-    slow = vector.maxsim_rows(chunks.select("id", F.explode("matrix").alias("vector")), q.select("query_id", F.posexplode("matrix").alias("row", "vector")))
-    for x in slow.collect():
-        assert fast[x["query_id"], x["id"]] == pytest.approx(x["score"])
-    assert fast[0, 0] == pytest.approx(3)
+    held = {x["id"]: vector._unit_rows(np.array(x["matrix"])) for x in chunks.collect() if x["matrix"]}
+    slow = {(k, i): (held[k] @ m.T).max(axis=1).sum() for k in (0, 1) for i, m in held.items()}
+    for block_bytes in (None, 100):  # all queries at once, and each in a block of its own
+        fast = {(x["query_id"], x["id"]): x["score"] for x in vector.maxsim(chunks, q, block_bytes).collect()}
+        assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
+        top = vector.maxsim_top(chunks.repartition(3), q, 4, block_bytes=block_bytes).collect()
+        for k in (0, 1):
+            want = sorted((-round(v, 9), i) for (a, i), v in slow.items() if a == k)[:4]
+            assert [(r["id"], r["rank"]) for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == k] == [(i, n + 1) for n, (_, i) in enumerate(want)]
+    pairs = spark.createDataFrame([(0, 3), (1, 3), (1, 5), (7, 5)], "query_id bigint, id bigint").join(chunks, "id")
+    got = {(x["query_id"], x["id"]): x["score"] for x in vector.maxsim_pairs(pairs, q, 100).collect()}
+    assert got.keys() == {(0, 3), (1, 3), (1, 5)} and all(v == pytest.approx(slow[k]) for k, v in got.items())
+    same = chunks.where("id = 3").select(F.explode(F.sequence(F.lit(50), F.lit(30), F.lit(-1))).alias("id"), "matrix").withColumn("id", F.col("id").cast("bigint"))
+    assert [r["id"] for r in vector.maxsim_top(same, q.where("query_id = 0"), 3).orderBy("rank").collect()] == [30, 31, 32]
+    assert vector.maxsim_top(chunks.limit(0), q, 3).count() == vector.maxsim(chunks, q.limit(0)).count() == 0
     m = np.concatenate([np.ones((1, 4)), np.repeat(np.eye(4)[:2], 3, axis=0)])
     assert vector.pooled(m, 3).tolist() == [[1.0] * 4, [1.0, 0, 0, 0], [0, 1.0, 0, 0]]
 

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import evaluation, intervals, lexical, tables
 from skein.operators.components import components
-from skein.operators.ordered import last_before, next_after, running_sum
+from skein.operators.ordered import exact_percentiles, last_before, next_after, running_sum
 from tests.util import rows
 
 
@@ -115,3 +116,16 @@ def test_bm25_edges(spark):
     got = {(r["query_id"], r["id"]): r["score"] for r in lexical.bm25(docs, q).collect()}
     assert set(got) == {(1, 1), (1, 4)} and got[1, 1] > got[1, 4]
     assert lexical.bm25(docs.limit(0), q).count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_percentiles(spark, accuracy):
+    # With little accuracy the sketch's brackets are wide of the mark, the result is the same.
+    r = random.Random(7)
+    data = [("hot", float(r.choice([r.randrange(40), r.gauss(0, 9)]))) for _ in range(3000)] + [("few", 2.0), ("few", 5.0), ("one", 3.0), (None, 1.0), (None, 4.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    shares = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    got = {x["k"]: [x[n] for n in shares] for x in exact_percentiles(df, "k", "v", shares, accuracy).collect()}
+    want = {k: np.percentile([v for a, v in data if a == k], [100 * p for p in shares.values()]).tolist() for k in ("hot", "few", "one", None)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert exact_percentiles(df.limit(0), "k", "v", shares).count() == 0
