@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,11 @@ from skein.operators.tables import upsert
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write a new immutable generation under `root` and move the pointer to it last; a reader sees the old or the new one."""
+    """Write a new immutable generation under `root` and move the pointer to it last; a reader sees the old or the new one.
+
+    The number of a generation is taken by creating its mark, which only one of two writers can; the pointer is moved by a
+    rename over the old one.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
@@ -23,13 +28,24 @@ def publish(df: DataFrame, root: str) -> str:
     numbers: list[int] = []
     if fs.exists(path(root)):
         numbers = [int(n[4:]) for n in (s.getPath().getName() for s in fs.listStatus(path(root))) if n.startswith("gen-") and n[4:].isdigit()]
-    name = f"gen-{max(numbers, default=0) + 1}"
+    number = max(numbers, default=0) + 1
+    while True:
+        try:
+            fs.create(path(f"{root}/.taken-{number}"), False).close()
+            break
+        except Py4JJavaError:
+            if not fs.exists(path(f"{root}/.taken-{number}")):
+                raise
+            number += 1
+    name = f"gen-{number}"
     df.write.parquet(f"{root}/{name}")
     out = fs.create(path(f"{root}/.current-{name}"), True)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(path(f"{root}/current"), False)
-    fs.rename(path(f"{root}/.current-{name}"), path(f"{root}/current"))
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    files.rename(path(f"{root}/.current-{name}"), path(f"{root}/current"), options)
     return name
 
 

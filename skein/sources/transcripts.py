@@ -133,6 +133,7 @@ def opencode_discovery(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def source_class(path: Column, root: str) -> Column:
     """main, subagent or excluded, by where a file lies under the root: memory folders at depth 1 and tool results and workflows at depth 2 are left out."""
-    parts = F.split(F.regexp_replace(path, "^" + root.rstrip("/") + "/", ""), "/")
+    base = root.rstrip("/") + "/"
+    parts = F.split(F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path), "/")
     excluded = ((F.size(parts) > 2) & (F.get(parts, F.lit(1)) == "memory")) | ((F.size(parts) > 3) & F.get(parts, F.lit(2)).isin("tool-results", "workflows"))
     return F.when(excluded, "excluded").when(F.size(parts) > 2, "subagent").otherwise("main")

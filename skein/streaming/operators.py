@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import fresh_path
+from skein.session import delete_path, fresh_path
 
 
 def run_to_end(stream: DataFrame, mode: str = "append", max_batches_path: str | None = None) -> DataFrame:
@@ -27,24 +27,35 @@ def file_stream(spark: SparkSession, path: str, files_a_batch: int | None = None
     return reader.parquet(path if whole else f"{path[:-1]}[{path[-1]}]")
 
 
-def upsert_stream(stream: DataFrame, merge) -> DataFrame:
-    """foreachBatch into versioned tables: `merge(previous or None, batch)` gives the next version, and the pointer moves to
-    it once it is written, so a repeated batch does no harm. Returns the last version."""
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """The numbers of the complete versions under `base`, rising."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path(base)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(fs_path(base))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(fs_path(f"{base}/{n}/_SUCCESS")))
+
+
+def upsert_stream(stream: DataFrame, merge, base: str | None = None) -> DataFrame:
+    """foreachBatch into versioned tables: `merge(previous or None, batch)` gives the next version, named by its batch, so a
+    repeated batch does no harm. Which version is the last is read from the folder `base`, beside the checkpoint, so that
+    a restarted stream goes on from it. Returns the last version; older ones than the two last are removed."""
     spark = stream.sparkSession
-    base = fresh_path(spark, "versions")
-    seen: dict[str, object] = {"path": None, "batch": -1}
+    base = base or fresh_path(spark, "versions")
 
     def step(batch: DataFrame, number: int) -> None:
-        if number <= seen["batch"]:
+        done = versions(spark, base)
+        if done and done[-1] >= number:
             return
-        previous = spark.read.parquet(seen["path"]) if seen["path"] else None
-        path = f"{base}/v{number}"
-        merge(previous, batch).write.mode("overwrite").parquet(path)
-        seen.update(path=path, batch=number)
+        previous = spark.read.parquet(f"{base}/v{done[-1]}") if done else None
+        merge(previous, batch).write.mode("overwrite").parquet(f"{base}/v{number}")
+        for old in done[:-1]:
+            delete_path(spark, f"{base}/v{old}")
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(seen["path"])
+    return spark.read.parquet(f"{base}/v{versions(spark, base)[-1]}")
 
 
 def rolling_counts(events: DataFrame, ts: str, key: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
