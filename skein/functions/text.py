@@ -79,6 +79,12 @@ def ceil_div(a: Column, b: int) -> Column:
     return -floor_div(-a, b)
 
 
+def reference(ref: Column) -> tuple[Column, Column]:
+    """Session and episode number of a reference `session:ep:number`; nulls for text of any other form."""
+    form = r"^(.+):ep:(\d+)$"
+    return F.when(ref.rlike(form), F.regexp_extract(ref, form, 1)), F.when(ref.rlike(form), F.regexp_extract(ref, form, 2).try_cast("bigint"))
+
+
 def epoch_to_millis(value: Column) -> Column:
     """Seconds or milliseconds since 1970 as milliseconds: 1e10 and more are milliseconds."""
     return F.when(F.abs(value) >= 10_000_000_000, value).otherwise(value * 1000)

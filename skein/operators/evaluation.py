@@ -76,3 +76,32 @@ def extended_run(final: DataFrame, prefetch: DataFrame, limit: int) -> DataFrame
     w = Window.partitionBy("query_id").orderBy("_at", "id")
     kept = first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
     return kept.select("query_id", "id", F.col("position").cast("bigint").alias("position"), (F.lit(limit) - F.col("position") + 1).cast("double").alias("score"))
+
+
+def recall_diagnostics(queries: DataFrame, run: DataFrame, members: DataFrame, relevant: DataFrame, depths: tuple[int, ...] = R_AT) -> DataFrame:
+    """Recall of each query of queries(query_id) by episode at each depth and by chunk at the deepest.
+
+    run(query_id, id, rank) holds chunks, members(id, episode) says whose they are, relevant(query_id, episode) what was sought; an
+    episode ranks where its first chunk does, and every chunk of a relevant episode is relevant. Null where nothing is relevant.
+    """
+    deepest = max(depths)
+    wanted = relevant.where(F.col("episode").isNotNull()).select("query_id", "episode").distinct()
+    placed = run.join(members.select("id", "episode"), "id")
+    best = placed.groupBy("query_id", "episode").agg(F.min("rank").alias("_at"))
+    ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_at")))
+    got = ranked.join(wanted, ["query_id", "episode"]).groupBy("query_id").agg(*[F.count_if(F.col("_r") <= k).alias(f"_e{k}") for k in depths])
+    chunks = placed.where(F.col("rank") <= deepest).join(wanted, ["query_id", "episode"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = members.groupBy("episode").agg(F.count(F.lit(1)).alias("_n"))
+    total = wanted.join(sizes, "episode", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("_episodes"), F.sum("_n").alias("_chunks"))
+    rows = queries.select("query_id").distinct().join(total, "query_id", "left").join(got, "query_id", "left").join(chunks, "query_id", "left")
+
+    def share(found: str, of: str):
+        return F.when(F.col(of) > 0, F.coalesce(F.col(found), F.lit(0)) / F.col(of))
+
+    return rows.select("query_id", *[share(f"_e{k}", "_episodes").alias(f"r_{k}") for k in depths], share("_c", "_chunks").alias(f"chunk_r_{deepest}"))
+
+
+def means(metrics: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """(slice, metric, mean, positive_mean) over groups(query_id, slice): nulls are left out of both, zeros of the second."""
+    long = metrics.select("query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("m")).select("query_id", "m.metric", "m.v")
+    return long.join(groups.select("query_id", "slice").distinct(), "query_id").groupBy("slice", "metric").agg(F.avg("v").alias("mean"), F.avg(F.when(F.col("v") > 0, F.col("v"))).alias("positive_mean"))

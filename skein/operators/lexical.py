@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
+from skein.operators.ordered import ranks
 
 # Fixed values of the ranking.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -71,10 +72,10 @@ def best_per_group(scores: DataFrame, group: str) -> DataFrame:
 def fuse_rrf(dense: DataFrame, lexical: DataFrame, dense_weight: float = 1.0, k: int = RRF_K) -> DataFrame:
     """(query_id, id, score): reciprocal ranks of two score tables(query_id, id, score) added up; an id needs only one of them."""
     weight = min(max(dense_weight, DENSE_WEIGHT[0]), DENSE_WEIGHT[1])
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
 
     def ranked(df, by):
-        return df.select("query_id", "id", (F.lit(float(by)) / (k + F.row_number().over(w))).alias("part"))
+        numbered = ranks(df.select("query_id", "id", "score"), "query_id", [F.col("score").desc(), F.col("id")])
+        return numbered.select("query_id", "id", (F.lit(float(by)) / (k + F.col("rank_no"))).alias("part"))
 
     both = ranked(dense, weight).unionByName(ranked(lexical.where("score > 0"), 1.0))
     return both.groupBy("query_id", "id").agg(F.sum("part").alias("score"))

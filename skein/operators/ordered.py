@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import materialize
+
 DAY_S = 86_400
 
 
@@ -96,3 +98,19 @@ def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, flo
     ends = upto.groupBy("_key", "name").agg(first(F.floor(rank)).alias("_a"), first(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
     each = ends.select("_key", "name", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_p"))
     return each.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in shares])
+
+
+def ranks(df: DataFrame, by: str, order: list[Column], name: str = "rank_no") -> DataFrame:
+    """`df` with the exact number from 1 of each row within `by`, in the given order (which should leave no ties).
+
+    Rows are range-partitioned by key and order, so that a key of a third of all rows is many partitions; they are numbered
+    inside those, and how many the partitions before hold of a key is added. Null keys are a key of their own.
+    """
+    ranged = df.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id())
+    rows = materialize(ranged, "ranks")
+    sizes = rows.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_by", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order))
+    joined = rows.withColumn("_inside", inside).join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_range", "_inside", "_by", "_at", "_before")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import evidence, ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, records, retrieval, streams
+from skein.plans import diagnostics, evidence, ledger, p2_hierarchy, p3_nested, p6_drift, p7_stamps, records, retrieval, streams
 
-MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger, records, streams, evidence]
+MODULES = [p2_hierarchy, p3_nested, p6_drift, p7_stamps, retrieval, ledger, records, streams, evidence, diagnostics]
 
 
 def queries() -> dict:

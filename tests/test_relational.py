@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import evaluation, intervals, lexical, tables
 from skein.operators.components import components
-from skein.operators.ordered import exact_percentiles, last_before, next_after, running_sum
+from skein.operators.ordered import exact_percentiles, last_before, next_after, ranks, running_sum
 from tests.util import rows
 
 
@@ -129,3 +129,14 @@ def test_exact_percentiles(spark, accuracy):
     want = {k: np.percentile([v for a, v in data if a == k], [100 * p for p in shares.values()]).tolist() for k in ("hot", "few", "one", None)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert exact_percentiles(df.limit(0), "k", "v", shares).count() == 0
+
+
+def test_ranks_over_ranges(spark):
+    r = random.Random(9)
+    data = [(r.choice(["hot", "hot", "a", None]), r.randrange(6), i) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, score bigint, id bigint")
+    got = {x["id"]: x["rank_no"] for x in ranks(df, "k", [F.col("score").desc(), F.col("id")]).collect()}
+    want = {}
+    for k in {a for a, _, _ in data}:
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((-s, i) for a, s, i in data if a == k))}
+    assert got == want and ranks(df.limit(0), "k", [F.col("id")]).count() == 0
