@@ -223,22 +223,22 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
     """(doc_id, piece_no, start_token, n_tokens, sequence_id) of counts(doc_id, n_tokens).
 
     Every piece gets exactly one sequence and no sequence holds more than `capacity` tokens. Documents without tokens
-    go to sequence 0 and take no room there; a repeated doc_id is a document of its own. An empty table gives an empty result.
+    take no room and are spread over all sequences in turn; a repeated doc_id is a document of its own. An empty table gives an empty result.
     The broadcast plan is bounded by the capacity, not by the documents.
     """
     parts = materialize(pieces(counts, capacity), "pieces")
     histogram = {int(r["n_tokens"]): int(r["n"]) for r in parts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = Plan(histogram, capacity, groups, small_share)
     spark = counts.sparkSession
-    packed = spark.sparkContext.broadcast(plan.arrays())
+    packed = spark.sparkContext.broadcast((*plan.arrays(), max(1, plan.n_sequences)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, sequence, each = packed.value
+        length, first, sequence, each, n_sequences = packed.value
         key = length << 40 | first
         for batch in batches:
             n, r = batch.column("n_tokens").to_numpy(), batch.column("rank_no").to_numpy()
             at = np.searchsorted(key, n << 40 | r, side="right") - 1
-            bins = sequence[at] + (r - first[at]) // np.maximum(each[at], 1)
+            bins = np.where(n == 0, r % n_sequences, sequence[at] + (r - first[at]) // np.maximum(each[at], 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece_no", "start_token", "n_tokens")), pa.array(bins)], ["doc_id", "piece_no", "start_token", "n_tokens", "sequence_id"])
 
     keyed = parts.withColumn("_key", F.concat_ws(":", "doc_id", "piece_no"))

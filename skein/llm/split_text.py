@@ -73,7 +73,8 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     before the end of its predecessor. A text within the limit is one piece, an empty one has none.
 
     A piece ends at the strongest boundary of the window in which it is more than twice the overlap and at least half
-    the limit long; without any boundary there, at the limit.
+    the limit long; without any boundary there, at the strongest that leaves it more than twice the overlap; without one, at
+    the limit.
     """
     if not 0 <= overlap < limit / 2:
         raise ValueError("the overlap must be under half the limit")
@@ -86,6 +87,8 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     out, start = [], 0
     while n - start > limit:
         strength, end = table.best(start + min(shortest, limit), start + limit)
+        if not strength and 2 * overlap + 1 < shortest:
+            strength, end = table.best(start + 2 * overlap + 1, start + shortest - 1)
         end = end if strength else start + limit
         out.append((start, end))
         start = end - overlap

@@ -122,6 +122,8 @@ def test_pack_rows(spark):
     assert sorted(x["n_tokens"] for x in out if x["doc_id"] == 5) == [50, 100, 100]
     assert sorted(x["start_token"] for x in out if x["doc_id"] == 5) == [0, 100, 200]
     assert pack(counts.limit(0), 100).count() == 0
+    empty = pack(spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, 90).otherwise(0).cast("bigint").alias("n_tokens")), 100).where("n_tokens = 0").groupBy("sequence_id").count().collect()
+    assert len(empty) == 20 and all(r["count"] == 49 for r in empty)
     assert pieces(counts, 1000).count() == 11
 
 
