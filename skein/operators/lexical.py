@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
 from skein.operators.ordered import ranks
+from skein.session import materialize
 
 # Fixed values of the ranking.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -71,6 +72,8 @@ def best_per_group(scores: DataFrame, group: str) -> DataFrame:
 
 def fuse_rrf(dense: DataFrame, lexical: DataFrame, dense_weight: float = 1.0, k: int = RRF_K) -> DataFrame:
     """(query_id, id, score): reciprocal ranks of two score tables(query_id, id, score) added up; an id needs only one of them."""
+    # Ranges are found by a sample of the scores, which would be computed again for each use.
+    dense, lexical = (materialize(x.select("query_id", "id", "score"), "scores") for x in (dense, lexical))
     weight = min(max(dense_weight, DENSE_WEIGHT[0]), DENSE_WEIGHT[1])
 
     def ranked(df, by):
@@ -83,6 +86,7 @@ def fuse_rrf(dense: DataFrame, lexical: DataFrame, dense_weight: float = 1.0, k:
 
 def hybrid(dense: DataFrame, lexical: DataFrame, dense_weight: float = 1.0) -> DataFrame:
     """Fused scores of queries with a lexical hit, dense scores of the rest."""
+    dense, lexical = (materialize(x.select("query_id", "id", "score"), "scores") for x in (dense, lexical))
     hit = lexical.where("score > 0").select("query_id").distinct()
     fused = fuse_rrf(dense.join(hit, "query_id", "left_semi"), lexical, dense_weight)
     return fused.unionByName(dense.join(hit, "query_id", "left_anti").select("query_id", "id", "score"))
