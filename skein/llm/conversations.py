@@ -17,6 +17,7 @@ Slices still open when a finite input ends are read from the state store and sum
 
 from __future__ import annotations
 
+import copy
 import json
 from collections.abc import Iterator
 
@@ -24,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from skein.session import fresh_path, materialize
 
@@ -38,7 +40,7 @@ AHEAD_MS = 24 * 3600 * 1000
 #: Micro-batches in which `replay` sends a table that is there already.
 BATCHES = 3
 #: A unit is one session's slice, its name the JSON list of runtime, session and slice; a fact the JSON list of uid, parent, role, ts,
-#: seq and clock. Spark hands every unit to Python as columns of its own, which costs more than reading a few lists.
+#: seq and clock. Spark hands every value to Python by itself, which costs more than reading a few lists.
 FACTS = "unit string, fact string, clock_ms bigint"
 STATE = "held string, open boolean"
 EMITTED = "kind string, runtime string, session_id string, part bigint, revision bigint, n bigint, first_role string, last_role string, broken boolean, lost array<string>, own array<string>"
@@ -125,28 +127,42 @@ def _said(kind: str, unit: str, held: dict) -> str:
     return json.dumps(dict(zip(_FIELDS, (kind, runtime, session_id, int(part), held["revision"], *row))))
 
 
-_NEW = {"turns": {}, "parents": {}, "last": 0, "revision": 0, "strays": 0, "gone": False}
+_NEW = {"turns": {}, "parents": {}, "last": 0, "revision": 0, "strays": 0, "gone": False, "timer": None}
 
 
-def _slice(timeout_ms: int, retain_ms: int | None):
-    """The state function of one slice."""
+class _Slices(StatefulProcessor):
+    """One slice a key: its state is a value of its own, its timer the event time at which it closes or is given up."""
 
-    def run(key, frames, state):
+    def __init__(self, timeout_ms: int, retain_ms: int | None):
+        self.timeout_ms, self.retain_ms = timeout_ms, retain_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("slice", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (unit,) = key
         if unit.startswith(_TICK):  # rows that only move the watermark
-            return
-        text, open_ = state.get if state.exists else (None, False)
-        held = json.loads(text) if text else json.loads(json.dumps(_NEW))
-        changed = strays = 0
-        if not state.hasTimedOut:
-            for pdf in frames:
-                if held["gone"]:
-                    strays += len(pdf)
-                else:
-                    changed |= merge(held, pdf.iloc[:, 1].tolist())
-        now = state.getCurrentWatermarkMs()
-        due = held["last"] + timeout_ms
-        open_ = open_ or bool(changed)
+            return iter(())
+        held, open_ = self._held()
+        changed, strays = False, 0
+        if held["gone"]:
+            strays = sum(1 for _ in rows)
+        else:
+            changed = merge(held, [row.fact for row in rows])
+        return self._keep(unit, held, open_ or changed, strays, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, open_ = self._held()
+        held["timer"] = None  # Spark drops the one that fired
+        return self._keep(key[0], held, open_, 0, timerValues.getCurrentWatermarkInMs())
+
+    def _held(self) -> tuple[dict, bool]:
+        self.value = self.state.get()
+        text, open_ = self.value or (None, False)
+        return json.loads(text) if text else copy.deepcopy(_NEW), open_
+
+    def _keep(self, unit: str, held: dict, open_: bool, strays: int, now: int) -> Iterator[Row]:
+        due = held["last"] + self.timeout_ms
         said = None
         if strays:
             held["strays"] += strays
@@ -156,17 +172,20 @@ def _slice(timeout_ms: int, retain_ms: int | None):
             held["revision"] += 1
             open_ = False
             said = _said("slice", unit, held)
-        if not held["gone"] and not open_ and retain_ms is not None and due + retain_ms <= now:
+        if not held["gone"] and not open_ and self.retain_ms is not None and due + self.retain_ms <= now:
             held.update(turns={}, parents={}, gone=True)
-        state.update((json.dumps(held), open_))
-        if not held["gone"]:
-            later = due if open_ else None if retain_ms is None else due + retain_ms
-            if later is not None:
-                state.setTimeoutTimestamp(max(later, now + 1))
-        if said:
-            yield pd.DataFrame({"said": [said]})
-
-    return run
+        later = due if open_ else None if held["gone"] or self.retain_ms is None else due + self.retain_ms
+        timer = None if later is None else max(later, now + 1)
+        if timer != held["timer"]:
+            if held["timer"] is not None:
+                self.handle.deleteTimer(held["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            held["timer"] = timer
+        value = (json.dumps(held), open_)
+        if value != self.value:
+            self.state.update(value)
+        return iter(() if said is None else (Row(said=said),))
 
 
 def stream_units(messages: DataFrame, delay: str = DELAY, slice_ms: int = SLICE_MS, timeout_ms: int = TIMEOUT_MS, retain_ms: int | None = None) -> DataFrame:
@@ -180,13 +199,13 @@ def _units_of_facts(facts: DataFrame, delay: str, timeout_ms: int, retain_ms: in
     # marked as the column of event time.
     mark = ticked.schema["clock"].metadata or {_DELAY_MARK: int(pd.Timedelta(delay).total_seconds() * 1000)}
     ticked = ticked.select("unit", "fact", F.col("clock").cast("bigint").alias("clock", metadata=mark))
-    said = ticked.groupBy("unit").applyInPandasWithState(_slice(timeout_ms, retain_ms), "said string", STATE, "append", "EventTimeTimeout")
+    said = ticked.groupBy("unit").transformWithState(_Slices(timeout_ms, retain_ms), "said string", "Append", "EventTime")
     return said.select(F.from_json("said", EMITTED).alias("s")).select("s.*")
 
 
 def open_units(spark, checkpoint: str) -> DataFrame:
     """What the slices that are open in the state store of a stopped stream would say."""
-    held = spark.read.format("statestore").load(checkpoint).select("key.unit", "value.groupState.*").where("open").select("unit", "held")
+    held = spark.read.format("statestore").option("stateVarName", "slice").load(checkpoint).select("key.unit", "value.*").where("open").select("unit", "held")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -242,7 +261,8 @@ def replay(messages: DataFrame, batches: int = BATCHES, slice_ms: int = SLICE_MS
     """
     spark = messages.sparkSession
     when = F.coalesce(F.unix_millis("arrived"), F.col("ts"), F.lit(0))
-    table = materialize(messages.where(F.col("session_id").isNotNull()).withColumn("_when", when), "messages")
+    # Filtered when it is read: before, the filter would parse the lines again to find their session.
+    table = materialize(messages.withColumn("_when", when), "messages").where(F.col("session_id").isNotNull())
     cuts = table.agg(F.percentile_approx("_when", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
     bounds = [None, *(cuts or []), None]
     feed = Feed(spark, slice_ms, **settings)

@@ -32,7 +32,8 @@ def _turn_role(role: Column, text: Column, meta: Column | None = None) -> Column
 
 
 def claude_messages(records: DataFrame) -> DataFrame:
-    v = records.select("rec_id", "ingested_at", parse_line(F.col("record")).alias("v")).where(F.col("v").isNotNull())
+    """Records that are no JSON come without a session. A filter here would go below the parser and parse each line several times over."""
+    v = records.select("rec_id", "ingested_at", parse_line(F.col("record")).alias("v"))
     stamp = F.try_variant_get("v", "$.timestamp", "variant")
     text = F.try_variant_get(stamp, "$", "string")
     ts = F.when(json_kind(stamp) == "number", F.floor(F.try_variant_get(stamp, "$", "double")).cast("bigint")).otherwise(F.coalesce(F.unix_millis(text.try_cast("timestamp")), text.try_cast("bigint")))

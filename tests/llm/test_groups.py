@@ -6,10 +6,11 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein.llm import p5_conversations as P5
-from skein.llm.conversations import Feed, ordered_turns, replay, verdicts
+from skein.llm.conversations import Feed, _Slices, ordered_turns, replay, verdicts
 from skein.llm.grouped_split import SHARES, grouped_split, pick, plan_split, ranked_within
 from skein.llm.packing import Plan, pack, pieces, token_counts
 
@@ -219,6 +220,58 @@ def test_row_after_the_state_is_gone(spark):
     assert told(units, "s") == (2, 2, None)
 
 
+class Asked:
+    """A handle of state that writes down what a slice asks of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append(("register", at))
+
+    def deleteTimer(self, at):
+        self.calls.append(("delete", at))
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def said(self, rows=None, now=0):
+        """What a slice of a timeout of 100 says to facts, or to its timer, and the calls it makes for that."""
+        self.calls, self.now = [], now
+        slices = _Slices(100, None)
+        slices.init(self)
+        key = (json.dumps(["r", "s", "0"]),)
+        out = slices.handleExpiredTimer(key, self, None) if rows is None else slices.handleInputRows(key, (Row(fact=json.dumps(r)) for r in rows), self)
+        return [json.loads(r.said)["revision"] for r in out], self.calls
+
+
+def test_calls_of_a_slice():
+    # Each is a request to Spark's state server, so their number is the cost of a slice.
+    slice_ = Asked()
+    one, two = ["a", None, "user", "5", "1", "5"], ["b", None, "assistant", "9", "2", "9"]
+    assert slice_.said([one]) == ([], ["get", ("register", 105), "update"])
+    assert slice_.said([one]) == ([], ["get"])
+    assert slice_.said([two, one]) == ([], ["get", ("delete", 105), ("register", 109), "update"])
+    assert slice_.said(now=109) == ([1], ["get", "update"])
+    assert slice_.said([two], now=200) == ([], ["get"])
+    assert slice_.said([["c", None, "user", "7", "3", "7"]], now=200) == ([2], ["get", "update"])
+    ticks = _Slices(100, None)
+    ticks.init(slice_)
+    slice_.calls = []
+    assert list(ticks.handleInputRows(("tick0",), iter(()), slice_)) == slice_.calls == []
+
+
 def test_wrong_clock_closes_nothing(spark):
     i, arrived, text = record(2, "wrong", "user", 0)
     future = text.replace("2025-01-01T00:00:00", "2099-01-01T00:00:00")
